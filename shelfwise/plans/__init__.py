@@ -1,6 +1,6 @@
 """Query catalogue (Spark plan + SQL oracle per operator key)."""
 
-from shelfwise.plans import customer_queries  # noqa: F401  (registers queries)
+from shelfwise.plans import customer_queries, demand_queries, source_queries  # noqa: F401
 from shelfwise.plans.catalog import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
