@@ -1,7 +1,7 @@
 """Query catalogue (Spark plan + SQL oracle per operator key)."""
 
 from shelfwise.plans import (customer_queries, demand_queries, pricing_queries,  # noqa: F401
-                             source_queries)
+                             risk_queries, source_queries)
 from shelfwise.plans.catalog import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
