@@ -157,3 +157,22 @@ def intervention_impact(spark, sf_dir):
        rounded=["survival"])
 def kaplan_meier(spark, sf_dir):
     return finish(C.kaplan_meier(_metrics(spark, sf_dir)))
+
+
+# -- fitted models: rows-only checks ----------------------------------------------
+
+VERIFY_CHURN = C.ChurnParams(max_iter=10)
+
+
+@query("churn_model")
+def churn_model(spark, sf_dir):
+    """Held-out customers scored by the churn classifier."""
+    _, test = C.train_churn_model(_metrics(spark, sf_dir), VERIFY_CHURN)
+    return finish(test.select("customer_id", "recency", "churn_probability"))
+
+
+@query("hazard_model")
+def hazard_model(spark, sf_dir):
+    """Weibull AFT time-to-churn predictions for every customer."""
+    _, out = C.hazard_model(_metrics(spark, sf_dir))
+    return finish(out)

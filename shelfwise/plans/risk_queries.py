@@ -362,3 +362,13 @@ def fraud_classifier(spark, sf_dir):
     """Held-out rows scored by the class-balanced forest (labels: is_fraud)."""
     _, test = G.train_fraud_classifier(_fraud_features(spark, sf_dir), "is_fraud", VERIFY_FOREST)
     return finish(test.select("transaction_id", "is_fraud", "fraud_probability"))
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf_dir):
+    """Distributed isolation forest over the ten behaviour features."""
+    from shelfwise.operators import isoforest as IF
+    f = _fraud_features(spark, sf_dir)
+    out = IF.isolation_forest(f, G.ANOMALY_FEATURES, "transaction_id")
+    return finish(out.select("transaction_id", "iso_score", "decision", "anomaly_score",
+                             "is_anomaly"))
