@@ -105,8 +105,12 @@ def fulfilment_options(spark, sf_dir):
 @query("best_source", sql=FUL_SQL + "SELECT order_id, source, type, cost, delivery_time_days, score FROM alloc",
        rounded=["score"])
 def best_source(spark, sf_dir):
-    return finish(_alloc(spark, sf_dir).select("order_id", "source", "type", "cost",
-                                               "delivery_time_days", "score"))
+    """The row form: best option per order over the exploded option table."""
+    rt = _rt(spark, sf_dir)
+    stock = P.latest_stock(rt.inventory, per_store=True)
+    opts = H.fulfilment_options(rt.fulfilment_orders, stock)
+    return finish(H.best_source(opts).select("order_id", "source", "type", "cost",
+                                             "delivery_time_days", "score"))
 
 
 @query("allocate_orders", sql=FUL_SQL + "SELECT * FROM alloc", rounded=["score"])
