@@ -33,6 +33,27 @@ def safe_div(num: str | Column, den: str | Column, default: float | None = 0.0)
     return q if default is None else F.coalesce(q, F.lit(float(default)))
 
 
+# Amounts carry at most four decimals (fixed value of the data contract).
+MONEY_SCALE = 10_000
+
+
+def money_units(c: str | Column) -> Column:
+    """An amount as an exact integer count of 1/10,000 units."""
+    return F.round(col_(c) * MONEY_SCALE).cast("long")
+
+
+def money_sum(c: str | Column) -> Column:
+    """Exact fixed-point sum of an amount (integer sum, one division): the
+    result does not depend on summation order, so every engine and every
+    partitioning gives the same double."""
+    return F.sum(money_units(c)) / float(MONEY_SCALE)
+
+
+def money_avg(c: str | Column) -> Column:
+    """Mean of an amount from its exact sum."""
+    return money_sum(c) / F.count(col_(c))
+
+
 def band(c: str | Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Right-closed bins ``(e0, e1], (e1, e2], ...``; outside every bin → null.
 

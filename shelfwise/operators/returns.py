@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfwise.functions.exprs import band, weekday0
+from shelfwise.functions.exprs import band, money_avg, money_sum, weekday0
 from shelfwise.functions.stats import exact_quantiles
 
 # Fixed values of the returns model:
@@ -59,8 +59,8 @@ def customer_return_history(flagged: DataFrame) -> DataFrame:
     """per customer count, spend, mean order, returns, rate = returns/(n+1)."""
     g = flagged.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
-        F.sum("total_amount").alias("total_spend"),
-        F.avg("total_amount").alias("avg_order_value"),
+        money_sum("total_amount").alias("total_spend"),
+        money_avg("total_amount").alias("avg_order_value"),
         F.sum("is_returned").alias("historical_returns"))
     return g.withColumn("historical_return_rate",
                         F.col("historical_returns") / (F.col("total_transactions") + 1))

@@ -51,11 +51,24 @@ def oracle(body: str, rounded: Sequence[str] = ()) -> str:
     return f"SELECT * REPLACE ({repl}) FROM (\n{full}\n) AS q"
 
 
-def finish(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (float sums depend on evaluation order)."""
+def money_sum_sql(x: str) -> str:
+    """SQL twin of ``exprs.money_sum`` (exact fixed-point sum)."""
+    return f"CAST(sum(CAST(round({x} * 10000) AS BIGINT)) AS DOUBLE) / 10000"
+
+
+def money_avg_sql(x: str) -> str:
+    """SQL twin of ``exprs.money_avg``."""
+    return f"({money_sum_sql(x)}) / count({x})"
+
+
+def finish(df: DataFrame, places: int = 6, exact: Sequence[str] = ()) -> DataFrame:
+    """Round every double column (float sums depend on evaluation order),
+    except ``exact`` ones: values computed from exact fixed-point sums by the
+    same operations in every engine are left as they are (rounding identical
+    doubles is itself engine-dependent at half-way points)."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in exact:
             cols.append(F.round(F.col(f.name), places).alias(f.name))
         else:
             cols.append(F.col(f.name))

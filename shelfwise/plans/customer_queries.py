@@ -12,8 +12,8 @@ from shelfwise.sources.adapter import RetailTables
 CM_SQL = """
 , cm0 AS (
   SELECT customer_id, max(date) AS last_purchase, min(date) AS first_purchase,
-         count(*) AS frequency, sum(total_amount) AS monetary_total,
-         avg(total_amount) AS monetary_avg, CAST(sum(quantity) AS BIGINT) AS quantity_total,
+         count(*) AS frequency, CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS monetary_total,
+         (CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000) / count(total_amount) AS monetary_avg, CAST(sum(quantity) AS BIGINT) AS quantity_total,
          count(DISTINCT category) AS category_diversity,
          avg(CASE WHEN channel = 'Online' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS online_ratio
   FROM transactions WHERE customer_id IS NOT NULL GROUP BY customer_id
@@ -57,10 +57,10 @@ RFM_COLS = ["customer_id", "last_purchase", "first_purchase", "frequency", "mone
             "monetary_avg", "quantity_total", "recency", "tenure", "avg_days_between"]
 
 
-@query("rfm", sql=CM_SQL + "SELECT " + ", ".join(RFM_COLS) + " FROM cm",
-       rounded=["monetary_total", "monetary_avg", "avg_days_between"])
+# Money columns come from exact fixed-point sums and are compared unrounded.
+@query("rfm", sql=CM_SQL + "SELECT " + ", ".join(RFM_COLS) + " FROM cm")
 def rfm(spark, sf_dir):
-    return finish(_metrics(spark, sf_dir).select(*RFM_COLS))
+    return _metrics(spark, sf_dir).select(*RFM_COLS)
 
 
 @query("category_diversity", sql=CM_SQL + "SELECT customer_id, category_diversity FROM cm")
@@ -68,29 +68,26 @@ def category_diversity(spark, sf_dir):
     return _metrics(spark, sf_dir).select("customer_id", "category_diversity")
 
 
-@query("online_ratio", sql=CM_SQL + "SELECT customer_id, online_ratio FROM cm",
-       rounded=["online_ratio"])
+@query("online_ratio", sql=CM_SQL + "SELECT customer_id, online_ratio FROM cm")
 def online_ratio(spark, sf_dir):
-    return finish(_metrics(spark, sf_dir).select("customer_id", "online_ratio"))
+    return _metrics(spark, sf_dir).select("customer_id", "online_ratio")
 
 
 METRIC_COLS = RFM_COLS + ["category_diversity", "online_ratio", "segment"]
 
 
-@query("attach_segment", sql=CM_SQL + "SELECT " + ", ".join(METRIC_COLS) + " FROM cm",
-       rounded=["monetary_total", "monetary_avg", "avg_days_between", "online_ratio"])
+@query("attach_segment", sql=CM_SQL + "SELECT " + ", ".join(METRIC_COLS) + " FROM cm")
 def attach_segment(spark, sf_dir):
-    return finish(_metrics(spark, sf_dir).select(*METRIC_COLS))
+    return _metrics(spark, sf_dir).select(*METRIC_COLS)
 
 
 @query("clv_components",
        sql=CM_SQL + """SELECT customer_id, segment, historical_clv, estimated_months_remaining,
-                             predicted_future_value, total_clv FROM clv2""",
-       rounded=["historical_clv", "predicted_future_value", "total_clv"])
+                             predicted_future_value, total_clv FROM clv2""")
 def clv_components(spark, sf_dir):
     clv = C.clv_components(_metrics(spark, sf_dir))
-    return finish(clv.select("customer_id", "segment", "historical_clv",
-                             "estimated_months_remaining", "predicted_future_value", "total_clv"))
+    return clv.select("customer_id", "segment", "historical_clv",
+                      "estimated_months_remaining", "predicted_future_value", "total_clv")
 
 
 @query("churn_label",
@@ -102,20 +99,17 @@ def churn_label(spark, sf_dir):
 @query("customer_value",
        sql=CM_SQL + f"""SELECT customer_id, segment, historical_clv, predicted_future_value, total_clv,
                              predicted_future_value * (1 - churn_probability) AS risk_adjusted_clv,
-                             churn_probability, {CLV_BAND_SQL} AS clv_segment FROM scored""",
-       rounded=["historical_clv", "predicted_future_value", "total_clv", "risk_adjusted_clv",
-                "churn_probability"])
+                             churn_probability, {CLV_BAND_SQL} AS clv_segment FROM scored""")
 def customer_value(spark, sf_dir):
-    return finish(C.customer_value(_scored(spark, sf_dir)))
+    return C.customer_value(_scored(spark, sf_dir))
 
 
 @query("at_risk",
        sql=CM_SQL + """SELECT customer_id, segment, total_clv, churn_probability, recency, frequency,
                              monetary_avg FROM scored
-                      WHERE churn_probability > 0.5 AND total_clv > 100""",
-       rounded=["total_clv", "churn_probability", "monetary_avg"])
+                      WHERE churn_probability > 0.5 AND total_clv > 100""")
 def at_risk(spark, sf_dir):
-    return finish(C.at_risk_customers(_scored(spark, sf_dir)))
+    return C.at_risk_customers(_scored(spark, sf_dir))
 
 
 def _impact_sql(r):
@@ -131,11 +125,9 @@ def _impact_sql(r):
                              churn_probability * (1 - 0.3) AS new_churn_prob,
                              {_impact_sql(0.2)} - total_clv AS impact_low,
                              {_impact_sql(0.4)} - total_clv AS impact_high,
-                             'retention_campaign' AS intervention_type FROM scored""",
-       rounded=["current_clv", "new_clv", "impact", "impact_pct", "current_churn_prob",
-                "new_churn_prob", "impact_low", "impact_high"])
+                             'retention_campaign' AS intervention_type FROM scored""")
 def intervention_impact(spark, sf_dir):
-    return finish(C.intervention_impact(_scored(spark, sf_dir)))
+    return C.intervention_impact(_scored(spark, sf_dir))
 
 
 @query("kaplan_meier",

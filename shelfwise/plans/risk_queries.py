@@ -30,8 +30,8 @@ RET_SQL = """
   LEFT JOIN (SELECT transaction_id, min(return_reason) AS return_reason,
                     max(CAST(is_fraud AS INTEGER)) AS is_fraud FROM returns GROUP BY 1) r USING (transaction_id)
 ), crh AS (
-  SELECT customer_id, count(*) AS total_transactions, sum(total_amount) AS total_spend,
-         avg(total_amount) AS avg_order_value, CAST(sum(is_returned) AS BIGINT) AS historical_returns,
+  SELECT customer_id, count(*) AS total_transactions, CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS total_spend,
+         (CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000) / count(total_amount) AS avg_order_value, CAST(sum(is_returned) AS BIGINT) AS historical_returns,
          sum(is_returned) / (count(*) + 1) AS historical_return_rate
   FROM rf GROUP BY 1
 ), prh AS (
@@ -72,11 +72,11 @@ def return_details(spark, sf_dir):
     return f.select("transaction_id", "is_returned", "return_reason", "is_fraud")
 
 
-@query("customer_return_history", sql=RET_SQL + "SELECT * FROM crh",
-       rounded=["total_spend", "avg_order_value", "historical_return_rate"])
+@query("customer_return_history", sql=RET_SQL + "SELECT * FROM crh")
 def customer_return_history(spark, sf_dir):
+    """Exact money sums and count ratios: compared unrounded."""
     rt = _rt(spark, sf_dir)
-    return finish(RT.customer_return_history(RT.return_flag(rt.transactions, rt.returns)))
+    return RT.customer_return_history(RT.return_flag(rt.transactions, rt.returns))
 
 
 @query("product_return_history", sql=RET_SQL + "SELECT * FROM prh",
@@ -197,8 +197,8 @@ FRAUD_SQL = """
   SELECT transaction_id, max(CAST(is_fraud AS INTEGER)) AS is_fraud, min(return_date) AS return_date
   FROM returns GROUP BY 1
 ), cs AS (
-  SELECT customer_id, count(*) AS transaction_count, sum(total_amount) AS total_spend,
-         avg(total_amount) AS avg_order_value, stddev_samp(total_amount) AS order_value_std,
+  SELECT customer_id, count(*) AS transaction_count, CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS total_spend,
+         (CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000) / count(total_amount) AS avg_order_value, stddev_samp(total_amount) AS order_value_std,
          CAST(sum(quantity) AS BIGINT) AS total_quantity, min(date) AS first_purchase,
          max(date) AS last_purchase,
          CAST(coalesce(date_diff('day', min(date), max(date)), 0) AS INTEGER) AS customer_tenure
@@ -250,17 +250,19 @@ def txn_return_info(spark, sf_dir):
         "transaction_id", "is_fraud", "return_date", "has_return")
 
 
-@query("customer_stats", sql=FRAUD_SQL + "SELECT * FROM cs",
-       rounded=["total_spend", "avg_order_value", "order_value_std"])
+EXACT_MONEY = ["total_spend", "avg_order_value", "return_rate"]
+
+
+@query("customer_stats", sql=FRAUD_SQL + "SELECT * FROM cs", rounded=["order_value_std"])
 def customer_stats(spark, sf_dir):
-    return finish(G.customer_stats(_rt(spark, sf_dir).transactions))
+    return finish(G.customer_stats(_rt(spark, sf_dir).transactions), exact=EXACT_MONEY)
 
 
-@query("customer_returns", sql=FRAUD_SQL + "SELECT * FROM fhist",
-       rounded=["total_spend", "avg_order_value", "order_value_std", "return_rate"])
+@query("customer_returns", sql=FRAUD_SQL + "SELECT * FROM fhist", rounded=["order_value_std"])
 def customer_returns(spark, sf_dir):
     rt = _rt(spark, sf_dir)
-    return finish(G.customer_returns(G.customer_stats(rt.transactions), rt.returns))
+    return finish(G.customer_returns(G.customer_stats(rt.transactions), rt.returns),
+                  exact=EXACT_MONEY)
 
 
 IND = ["transaction_id", "high_value_order", "unusual_quantity", "hour", "is_late_night",

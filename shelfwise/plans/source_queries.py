@@ -74,19 +74,19 @@ def normalize_invoices(spark, sf_dir):
 @query("product_dim", sql=NORM_SQL + """
 SELECT CAST(product_id AS VARCHAR) AS product_id,
        arg_min(product_name, (date, invoiceno)) AS product_name,
-       avg(unit_price) AS unit_price,
+       (CAST(sum(CAST(round(unit_price * 10000) AS BIGINT)) AS DOUBLE) / 10000) / count(unit_price) AS unit_price,
        arg_min(category, (date, invoiceno)) AS category
-FROM inv_norm GROUP BY 1""", rounded=["unit_price"])
+FROM inv_norm GROUP BY 1""")
 def product_dim(spark, sf_dir):
-    return finish(R.product_dim(_normalized(spark, sf_dir)))
+    return R.product_dim(_normalized(spark, sf_dir))
 
 
 @query("customer_dim", sql=NORM_SQL + """
 SELECT customer_id, min(date) AS first_purchase_date, max(date) AS last_purchase_date,
-       sum(total_amount) AS total_spent
-FROM inv_norm WHERE customer_id IS NOT NULL GROUP BY 1""", rounded=["total_spent"])
+       CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS total_spent
+FROM inv_norm WHERE customer_id IS NOT NULL GROUP BY 1""")
 def customer_dim(spark, sf_dir):
-    return finish(R.customer_dim(_normalized(spark, sf_dir)))
+    return R.customer_dim(_normalized(spark, sf_dir))
 
 
 @query("dataset_summary", sql="""
@@ -96,14 +96,14 @@ SELECT (SELECT count(*) FROM products) AS n_products,
        (SELECT count(*) FROM returns) AS n_returns,
        count(DISTINCT customer_id) AS active_customers,
        count(DISTINCT product_id) AS active_products,
-       sum(total_amount) AS total_revenue,
-       avg(total_amount) AS avg_order_value,
+       CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS total_revenue,
+       (CAST(sum(CAST(round(total_amount * 10000) AS BIGINT)) AS DOUBLE) / 10000) / count(total_amount) AS avg_order_value,
        (SELECT count(*) FROM returns) / count(*) * 100 AS return_rate_pct,
        min(date) AS first_date, max(date) AS last_date
-FROM transactions""", rounded=["total_revenue", "avg_order_value", "return_rate_pct"])
+FROM transactions""")
 def dataset_summary(spark, sf_dir):
     rt = RetailTables(spark, sf_dir)
-    return finish(P.dataset_summary(rt.transactions, rt.products, rt.customers, rt.returns))
+    return P.dataset_summary(rt.transactions, rt.products, rt.customers, rt.returns)
 
 
 @query("latest_stock", sql="""
