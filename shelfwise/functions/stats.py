@@ -4,7 +4,8 @@ Both helpers use a two-level histogram: values are first counted per
 equal-width cell (at most ``CELLS`` rows per group, so the running count over
 cells is a bounded window), then only the cells that hold a wanted rank are
 opened and their *distinct* values ranked.  No task ever sees more than one
-cell's distinct values, and nothing passes through the driver.
+cell's distinct values, and nothing passes through the driver.  The narrow
+input (group, value) is checkpointed once, because it is read several times.
 """
 
 from __future__ import annotations
@@ -15,9 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfwise.session import checkpoint_dir
+
 CELLS = 4096
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate once to the shared checkpoint folder, so the
+    several statistics below read it instead of recomputing its whole lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _cell(x: Column, lo: Column, hi: Column, cells: int) -> Column:
     width = hi - lo
     raw = F.when(width > 0, F.floor((x - lo) / width * cells)).otherwise(F.lit(0))
@@ -29,40 +39,48 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     """Linear-interpolated quantiles (numpy / ``quantile_cont`` definition).
 
     Returns one row per group and q: ``by..., q, value``.  Nulls are ignored.
+    Per-group count / min / max are an aggregate joined on the group keys, or
+    scalar subqueries when there are no groups; the wanted ranks are generated
+    in-row on each histogram cell (no join with a target table).
     """
     by = list(by)
-    keys = by + ["_g"]
-    d = df.select(*by, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    d = d.withColumn("_g", F.lit(0))
-    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                 F.max("_x").alias("_hi"))
-    d = d.join(stats, keys).withColumn("_c", _cell(F.col("_x"), F.col("_lo"), F.col("_hi"), cells))
-
-    # wanted ranks: floor and ceil of h = (n-1)·q
-    t = stats.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    t = t.withColumn("_h", (F.col("_n") - 1) * F.col("q"))
-    t = t.withColumn("_r", F.explode(F.array_distinct(F.array(
-        F.floor("_h").cast("long"), F.ceil("_h").cast("long")))))
-
-    # level 1: counts per cell, running count before each cell (≤ cells rows per group)
-    cc = d.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_cn"))
-    wc = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    d = _materialise(df.select(*by, F.col(col).cast("double").alias("_x"))
+                     .filter(F.col("_x").isNotNull()))
+    if by:
+        stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
+                                   F.max("_x").alias("_hi"))
+        d = d.join(stats, by)
+    else:
+        d = d.withColumns({"_n": d.agg(F.count(F.lit(1))).scalar(),
+                           "_lo": d.agg(F.min("_x")).scalar(),
+                           "_hi": d.agg(F.max("_x")).scalar()})
+    d = d.withColumn("_c", _cell(F.col("_x"), F.col("_lo"), F.col("_hi"), cells))
+
+    # level 1: counts per cell and the running count before it (≤ cells rows per group)
+    cc = d.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_cn"), F.first("_n").alias("_n"))
+    wc = (Window.partitionBy(*by) if by else Window).orderBy("_c").rowsBetween(
+        Window.unboundedPreceding, -1)
     cc = cc.withColumn("_before", F.coalesce(F.sum("_cn").over(wc), F.lit(0)))
-    tc = t.join(cc, keys).filter((F.col("_r") >= F.col("_before"))
-                                 & (F.col("_r") < F.col("_before") + F.col("_cn")))
-    tc = tc.select(*keys, "q", "_h", "_r", "_c", "_before")
+    # wanted ranks floor / ceil of h = (n − 1)·q, kept on the cell that holds them
+    want = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"))
+                     for q in qs for side in (0, 1)])
+    tc = cc.withColumn("_w", F.explode(want)).select(
+        *by, "_c", "_before", "_cn", F.col("_w.q").alias("q"),
+        ((F.col("_n") - 1) * F.col("_w.q")).alias("_h"), F.col("_w.side").alias("_side"))
+    tc = tc.withColumn("_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")))
+    tc = tc.filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_cn")))
 
     # level 2: distinct values of the wanted cells only
-    wanted = tc.select(*keys, "_c").distinct()
-    dv = (d.join(wanted, keys + ["_c"], "left_semi")
-           .groupBy(*keys, "_c", "_x").agg(F.count(F.lit(1)).alias("_vn")))
-    wv = Window.partitionBy(*keys, "_c").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = tc.select(*by, "_c").distinct()
+    dv = (d.join(wanted, by + ["_c"], "left_semi")
+           .groupBy(*by, "_c", "_x").agg(F.count(F.lit(1)).alias("_vn")))
+    wv = Window.partitionBy(*by, "_c").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     dv = dv.withColumn("_vb", F.coalesce(F.sum("_vn").over(wv), F.lit(0)))
-    hit = (tc.join(dv, keys + ["_c"])
+    hit = (tc.join(dv, by + ["_c"])
              .filter((F.col("_r") - F.col("_before") >= F.col("_vb"))
                      & (F.col("_r") - F.col("_before") < F.col("_vb") + F.col("_vn"))))
-    g = hit.groupBy(*keys, "q").agg(
-        F.min_by("_x", "_r").alias("_vlo"), F.max_by("_x", "_r").alias("_vhi"),
+    g = hit.groupBy(*by, "q").agg(
+        F.min_by("_x", "_side").alias("_vlo"), F.max_by("_x", "_side").alias("_vhi"),
         F.first("_h").alias("_h"))
     frac = F.col("_h") - F.floor("_h")
     val = F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))
@@ -83,7 +101,8 @@ def roc_auc(df: DataFrame, label: str, score: str, cells: int = CELLS) -> DataFr
     y = (F.col(label).cast("double") > 0).cast("long")
     s = df.select(y.alias("_y"), F.col(score).cast("double").alias("_s")).filter(
         F.col("_s").isNotNull())
-    ds = s.groupBy("_s").agg(F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_n"))
+    ds = _materialise(s.groupBy("_s").agg(F.sum("_y").alias("_p"),
+                                          F.sum(1 - F.col("_y")).alias("_n")))
     lo, hi = ds.agg(F.min("_s")).scalar(), ds.agg(F.max("_s")).scalar()
     ds = ds.withColumn("_c", _cell(F.col("_s"), lo, hi, cells))
     cc = ds.groupBy("_c").agg(F.sum("_n").alias("_cneg"))
