@@ -44,7 +44,7 @@ CLV_BAND_SQL = """CASE WHEN total_clv > 0 AND total_clv <= 100 THEN 'Low'
 
 
 def _metrics(spark, sf_dir):
-    rt = RetailTables(spark, sf_dir)
+    rt = RetailTables.of(spark, sf_dir)
     return C.customer_metrics(rt.transactions, rt.customers)
 
 

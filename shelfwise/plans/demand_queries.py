@@ -52,20 +52,20 @@ FEAT_COLS = ["date", "product_id", "store_id", "quantity", "total_amount", "cate
 
 
 def _features(spark, sf_dir):
-    rt = RetailTables(spark, sf_dir)
+    rt = RetailTables.of(spark, sf_dir)
     return D.demand_features(rt.transactions, rt.products)
 
 
 @query("daily_sales", sql=FEAT_SQL + "SELECT date, product_id, store_id, quantity, total_amount FROM ds",
        rounded=["total_amount"])
 def daily_sales(spark, sf_dir):
-    return finish(D.daily_sales(RetailTables(spark, sf_dir).transactions))
+    return finish(D.daily_sales(RetailTables.of(spark, sf_dir).transactions))
 
 
 @query("attach_product", sql=FEAT_SQL + "SELECT date, product_id, store_id, quantity, total_amount, category, price FROM dsp",
        rounded=["total_amount", "price"])
 def attach_product(spark, sf_dir):
-    rt = RetailTables(spark, sf_dir)
+    rt = RetailTables.of(spark, sf_dir)
     return finish(D.attach_product(D.daily_sales(rt.transactions), rt.products)
                   .select("date", "product_id", "store_id", "quantity", "total_amount",
                           "category", "price"))

@@ -95,7 +95,7 @@ MK_ROUND = ["current_price", "recommended_markdown", "recommended_price", "expec
 
 
 def _tables(spark, sf_dir):
-    return RetailTables(spark, sf_dir)
+    return RetailTables.of(spark, sf_dir)
 
 
 def _stats(rt):

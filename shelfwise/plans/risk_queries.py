@@ -51,7 +51,7 @@ RET_SQL = """
 
 
 def _rt(spark, sf_dir):
-    return RetailTables(spark, sf_dir)
+    return RetailTables.of(spark, sf_dir)
 
 
 def _ret_features(spark, sf_dir):

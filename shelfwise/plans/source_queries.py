@@ -20,7 +20,7 @@ TX_COLS = ["transaction_id", "date", "customer_id", "product_id", "store_id", "c
 def read_tables(spark, sf_dir):
     """Round trip: write the transactions as month-partitioned CSV to the shared
     scratch folder, read them back with the declared schema."""
-    rt = RetailTables(spark, sf_dir)
+    rt = RetailTables.of(spark, sf_dir)
     path = R.scratch_path(spark, "tables-csv")
     R.write_tables({"transactions": rt.transactions}, path, fmt="csv")
     back = R.read_tables(spark, path, fmt="csv", names=("transactions",))["transactions"]
@@ -34,7 +34,7 @@ SELECT 'products', count(*) FROM products UNION ALL
 SELECT 'returns', count(*) FROM returns UNION ALL
 SELECT 'transactions', count(*) FROM transactions""")
 def write_tables(spark, sf_dir):
-    rt = RetailTables(spark, sf_dir)
+    rt = RetailTables.of(spark, sf_dir)
     tables = {"products": rt.products, "customers": rt.customers, "transactions": rt.transactions,
               "returns": rt.returns, "inventory": rt.inventory}
     path = R.scratch_path(spark, "tables-parquet")
@@ -62,7 +62,7 @@ NORM_SQL = """
 
 
 def _normalized(spark, sf_dir):
-    return R.normalize_invoices(RetailTables(spark, sf_dir).invoices)
+    return R.normalize_invoices(RetailTables.of(spark, sf_dir).invoices)
 
 
 @query("normalize_invoices", sql=NORM_SQL + "SELECT " + ", ".join(NORM_COLS) + " FROM inv_norm",
@@ -102,7 +102,7 @@ SELECT (SELECT count(*) FROM products) AS n_products,
        min(date) AS first_date, max(date) AS last_date
 FROM transactions""")
 def dataset_summary(spark, sf_dir):
-    rt = RetailTables(spark, sf_dir)
+    rt = RetailTables.of(spark, sf_dir)
     return P.dataset_summary(rt.transactions, rt.products, rt.customers, rt.returns)
 
 
@@ -110,7 +110,7 @@ def dataset_summary(spark, sf_dir):
 SELECT product_id, arg_max(stock_level, (date, store_id)) AS stock_level, max(date) AS snapshot_date
 FROM inventory GROUP BY product_id""")
 def latest_stock(spark, sf_dir):
-    return P.latest_stock(RetailTables(spark, sf_dir).inventory)
+    return P.latest_stock(RetailTables.of(spark, sf_dir).inventory)
 
 
 _PROFILE_COLS = ["customer_id", "product_id", "quantity", "unit_price", "total_amount",
@@ -129,5 +129,5 @@ def _profile_sql():
 
 @query("preview_profile", sql=_profile_sql(), rounded=["mean", "std", '"min"', '"max"'])
 def preview_profile(spark, sf_dir):
-    tx = RetailTables(spark, sf_dir).transactions.select(*_PROFILE_COLS)
+    tx = RetailTables.of(spark, sf_dir).transactions.select(*_PROFILE_COLS)
     return finish(P.profile(tx))

@@ -57,7 +57,7 @@ FUL_SQL = f"""
 
 
 def _rt(spark, sf_dir):
-    return RetailTables(spark, sf_dir)
+    return RetailTables.of(spark, sf_dir)
 
 
 def _alloc(spark, sf_dir):

@@ -41,16 +41,24 @@ def get_spark(app: str = "shelfwise", master: str | None = None,
     return spark
 
 
+_CHECKPOINT_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
     Only when the session leaves it unset (local tests) do we create a private
     scratch folder and register it.
     """
+    app = spark.sparkContext.applicationId
+    if app in _CHECKPOINT_DIRS:
+        return _CHECKPOINT_DIRS[app]
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+        path = configured
+    else:
+        path = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.sparkContext.setCheckpointDir(path)
+    _CHECKPOINT_DIRS[app] = path
+    return path

@@ -44,18 +44,39 @@ class StarSchema:
     spark: SparkSession
     sf_dir: str
 
+    def __post_init__(self):
+        self._tables: dict[str, DataFrame] = {}
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:          # one file listing / footer read per table
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
+
+
+_OPEN: dict[tuple[int, str], "RetailTables"] = {}
 
 
 class RetailTables:
-    """Lazy retail views over one star-schema folder."""
+    """Lazy retail views over one star-schema folder.
+
+    ``RetailTables.of(spark, dir)`` returns one shared instance per session and
+    folder, so every query of a session reuses the same (lazy) DataFrames
+    instead of re-opening the files and rebuilding the adapter plan.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
         self.star = StarSchema(spark, sf_dir)
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "RetailTables":
+        key = (id(spark), sf_dir)
+        inst = _OPEN.get(key)
+        if inst is None or inst.spark is not spark:
+            inst = _OPEN[key] = cls(spark, sf_dir)
+        return inst
+
     # -- transactions -------------------------------------------------------
     @cached_property
     def _tx_wide(self) -> DataFrame:
@@ -87,7 +108,7 @@ class RetailTables:
             F.col("l_tax"), F.col("l_returnflag"),
         )
 
-    @property
+    @cached_property
     def transactions(self) -> DataFrame:
         """transaction_id, date, customer_id, product_id, store_id, channel,
         quantity, unit_price, total_amount, category, discount_applied."""
@@ -96,14 +117,14 @@ class RetailTables:
             "quantity", "unit_price", "total_amount", "category", "discount_applied")
 
     # -- dimensions ---------------------------------------------------------
-    @property
+    @cached_property
     def products(self) -> DataFrame:
         return self.star.table("part").select(
             F.col("p_partkey").alias("product_id"),
             F.col("p_type").alias("category"),
             F.col("p_retailprice").alias("price"))
 
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
         seg = (F.when(F.col("c_mktsegment").isin(*SEGMENT_HIGH), "High-Value")
                 .when(F.col("c_mktsegment").isin(*SEGMENT_MEDIUM), "Medium")
@@ -112,7 +133,7 @@ class RetailTables:
             F.col("c_custkey").alias("customer_id"), seg.alias("segment"))
 
     # -- returns ------------------------------------------------------------
-    @property
+    @cached_property
     def returns(self) -> DataFrame:
         t = self._tx_wide.filter((F.col("l_returnflag") == "R")
                                  & (F.col("l_linenumber") <= RETURN_MAX_LINE))
@@ -131,7 +152,7 @@ class RetailTables:
             F.col("total_amount").alias("amount_returned"))
 
     # -- inventory ----------------------------------------------------------
-    @property
+    @cached_property
     def inventory(self) -> DataFrame:
         """Monthly snapshot per (store, product): units sold that month."""
         out = F.col("product_id") % STOCKOUT_MOD == 0
@@ -144,7 +165,7 @@ class RetailTables:
             out.alias("is_stockout"))
 
     # -- fulfilment batch ---------------------------------------------------
-    @property
+    @cached_property
     def fulfilment_orders(self) -> DataFrame:
         tx = self._tx_wide
         last = tx.agg(F.max("date")).scalar()                 # scalar subquery
@@ -163,12 +184,12 @@ class RetailTables:
                         "customer_id", "date", "category"))
 
     # -- merchandising side inputs -------------------------------------------
-    @property
+    @cached_property
     def external_signals(self) -> DataFrame:
         return (self._tx_wide.groupBy(F.trunc("date", "month").alias("year_month"))
                 .agg(F.avg("l_tax").alias("signal")))
 
-    @property
+    @cached_property
     def invoices(self) -> DataFrame:
         """Raw invoice-style rows (upper/mixed-case names, cancellations,
         negative quantities) for the invoice normaliser."""
