@@ -34,14 +34,35 @@ def _cell(x: Column, lo: Column, hi: Column, cells: int) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(cells - 1)).cast("int")
 
 
+MAX_CELL_ROWS = 1 << 20        # the final per-cell window never sees more rows than this
+MAX_LEVELS = 12
+
+
+def _pick_cells(hist: DataFrame, keys: list[str], want: DataFrame, rank: str) -> DataFrame:
+    """From a cell histogram (keys…, _c, _cn) and wanted ranks (keys…, target…, rank)
+    keep, per wanted rank, the cell holding it and the rank left inside it."""
+    wc = Window.partitionBy(*keys).orderBy("_c").rowsBetween(
+        Window.unboundedPreceding, -1)                          # ≤ cells rows per key
+    h = hist.withColumn("_before", F.coalesce(F.sum("_cn").over(wc), F.lit(0)))
+    j = want.join(h, keys)
+    return (j.filter((F.col(rank) >= F.col("_before"))
+                     & (F.col(rank) < F.col("_before") + F.col("_cn")))
+             .withColumn(rank, F.col(rank) - F.col("_before")).drop("_before"))
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
-                    cells: int = CELLS) -> DataFrame:
+                    cells: int = CELLS, max_cell_rows: int = MAX_CELL_ROWS) -> DataFrame:
     """Linear-interpolated quantiles (numpy / ``quantile_cont`` definition).
 
     Returns one row per group and q: ``by..., q, value``.  Nulls are ignored.
-    Per-group count / min / max are an aggregate joined on the group keys, or
-    scalar subqueries when there are no groups; the wanted ranks are generated
-    in-row on each histogram cell (no join with a target table).
+
+    Level 1 counts values per equal-width cell of each group; only the cells
+    holding a wanted rank are kept.  While such a cell still holds more than
+    ``max_cell_rows`` distinct-range rows, it is re-binned on its own exact
+    min / max (each level narrows it by up to ``cells``×), so heavy clusters and
+    far outliers cannot force a large group into one task.  The final window
+    ranks the distinct values of small cells only.  The few wanted ranks
+    (≤ 2 per group and q) are the only thing the loop inspects on the driver.
     """
     by = list(by)
     d = _materialise(df.select(*by, F.col(col).cast("double").alias("_x"))
@@ -49,36 +70,50 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     if by:
         stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
                                    F.max("_x").alias("_hi"))
-        d = d.join(stats, by)
-    else:
-        d = d.withColumns({"_n": d.agg(F.count(F.lit(1))).scalar(),
-                           "_lo": d.agg(F.min("_x")).scalar(),
-                           "_hi": d.agg(F.max("_x")).scalar()})
-    d = d.withColumn("_c", _cell(F.col("_x"), F.col("_lo"), F.col("_hi"), cells))
-
-    # level 1: counts per cell and the running count before it (≤ cells rows per group)
-    cc = d.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_cn"), F.first("_n").alias("_n"))
+        d1 = d.join(stats, by)
+    else:                                                      # scalar subqueries, no join
+        d1 = d.withColumns({"_n": d.agg(F.count(F.lit(1))).scalar(),
+                            "_lo": d.agg(F.min("_x")).scalar(),
+                            "_hi": d.agg(F.max("_x")).scalar()})
+    tk = by + ["q", "_side"]                                   # one wanted rank = one target
+
+    # level 1 on whole groups (rows are not repeated per target); the wanted
+    # ranks floor / ceil of h = (n − 1)·q are generated in-row on each cell
+    d1 = d1.withColumn("_c", _cell(F.col("_x"), F.col("_lo"), F.col("_hi"), cells))
+    hist = d1.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_cn"), F.first("_n").alias("_n"))
     wc = (Window.partitionBy(*by) if by else Window).orderBy("_c").rowsBetween(
-        Window.unboundedPreceding, -1)
-    cc = cc.withColumn("_before", F.coalesce(F.sum("_cn").over(wc), F.lit(0)))
-    # wanted ranks floor / ceil of h = (n − 1)·q, kept on the cell that holds them
-    want = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"))
+        Window.unboundedPreceding, -1)                         # ≤ cells rows per group
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_cn").over(wc), F.lit(0)))
+    want = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("_side"))
                      for q in qs for side in (0, 1)])
-    tc = cc.withColumn("_w", F.explode(want)).select(
-        *by, "_c", "_before", "_cn", F.col("_w.q").alias("q"),
-        ((F.col("_n") - 1) * F.col("_w.q")).alias("_h"), F.col("_w.side").alias("_side"))
-    tc = tc.withColumn("_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")))
-    tc = tc.filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_cn")))
-
-    # level 2: distinct values of the wanted cells only
-    wanted = tc.select(*by, "_c").distinct()
-    dv = (d.join(wanted, by + ["_c"], "left_semi")
-           .groupBy(*by, "_c", "_x").agg(F.count(F.lit(1)).alias("_vn")))
-    wv = Window.partitionBy(*by, "_c").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    t = hist.withColumn("_w", F.explode(want)).select(
+        *by, "_c", "_cn", "_before", F.col("_w.q").alias("q"), F.col("_w._side").alias("_side"),
+        ((F.col("_n") - 1) * F.col("_w.q")).alias("_h"))
+    t = t.withColumn("_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")))
+    t = t.filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_cn")))
+    picked = _materialise(t.withColumn("_r", (F.col("_r") - F.col("_before")).cast("long"))
+                           .drop("_before"))
+    rows = d1.join(picked.select(*by, "_c", "q", "_side"), by + ["_c"]).select(*tk, "_x")
+
+    for _ in range(MAX_LEVELS):
+        big = picked.agg(F.max("_cn")).first()[0]
+        if big is None or big <= max_cell_rows:
+            break
+        rows = _materialise(rows)
+        rng = rows.groupBy(*tk).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        if rng.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] == 0:
+            break                                              # cells hold one value each
+        r2 = rows.join(rng, tk).withColumn("_c", _cell(F.col("_x"), F.col("_lo"), F.col("_hi"), cells))
+        hist = r2.groupBy(*tk, "_c").agg(F.count(F.lit(1)).alias("_cn"))
+        picked = _materialise(_pick_cells(hist, tk, picked.select(*tk, "_h", "_r"), "_r"))
+        rows = r2.join(picked.select(*tk, "_c"), tk + ["_c"]).select(*tk, "_x")
+
+    # final: rank the distinct values of each (small) wanted cell
+    dv = rows.groupBy(*tk, "_x").agg(F.count(F.lit(1)).alias("_vn"))
+    wv = Window.partitionBy(*tk).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     dv = dv.withColumn("_vb", F.coalesce(F.sum("_vn").over(wv), F.lit(0)))
-    hit = (tc.join(dv, by + ["_c"])
-             .filter((F.col("_r") - F.col("_before") >= F.col("_vb"))
-                     & (F.col("_r") - F.col("_before") < F.col("_vb") + F.col("_vn"))))
+    hit = (dv.join(picked.select(*tk, "_h", "_r"), tk)
+             .filter((F.col("_r") >= F.col("_vb")) & (F.col("_r") < F.col("_vb") + F.col("_vn"))))
     g = hit.groupBy(*by, "q").agg(
         F.min_by("_x", "_side").alias("_vlo"), F.max_by("_x", "_side").alias("_vhi"),
         F.first("_h").alias("_h"))

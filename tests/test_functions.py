@@ -74,3 +74,17 @@ def test_roc_auc_matches_pairwise(spark):
 def test_roc_auc_single_class_is_null(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.4)], "y int, s double")
     assert roc_auc(df, "y", "s").first()[0] is None
+
+
+def test_exact_quantiles_refine_dense_cluster_with_outliers(spark):
+    """A tight cluster plus far outliers lands in one level-1 cell; the cell is
+    re-binned until it is small, and the result stays exact."""
+    rng = random.Random(7)
+    rows = [("a" if i % 3 else "b", 1.0 + rng.random() * 1e-9) for i in range(3000)]
+    rows += [("a", 1e12), ("b", -1e9)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for by in ([], ["g"]):
+        for r in exact_quantiles(df, "v", [0.0, 0.3, 0.5, 0.99, 1.0], by=by,
+                                 max_cell_rows=50).collect():
+            vals = np.array([v for g, v in rows if not by or g == r["g"]])
+            assert r.value == float(np.quantile(vals, r.q))
