@@ -127,25 +127,46 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> Column:
     return exact_quantiles(df, col, [q]).select("value").scalar()
 
 
-def roc_auc(df: DataFrame, label: str, score: str, cells: int = CELLS) -> DataFrame:
+def ordered_prefix(df: DataFrame, order: list[str], value: str | None, out: str) -> DataFrame:
+    """Exclusive running sum of ``value`` (or a running row count when None) in
+    the total order ``order``, computed without any single-task window over the
+    data: range-partition on the order, sum inside each range partition (one
+    task per balanced partition), add the totals of earlier partitions (a
+    window over at most #partitions rows).  The partitioned rows are written
+    once to the shared checkpoint folder, so the totals and the rows come from
+    the same partitioning.  Runs one job (the checkpoint) when called.
+    """
+    v = F.lit(1).cast("long") if value is None else F.col(value)
+    d = df.repartitionByRange(*order).withColumns({"_pid": F.spark_partition_id(), "_v": v})
+    d = _materialise(d)
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("_v").over(w), F.lit(0)))
+    sizes = d.groupBy("_pid").agg(F.sum("_v").alias("_tot"))
+    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_tot").over(wp), F.lit(0)))
+    return (d.join(offs, "_pid").withColumn(out, F.col("_off") + F.col("_in"))
+             .drop("_pid", "_v", "_in", "_tot", "_off"))
+
+
+def global_index(df: DataFrame, order: list[str], name: str = "_gidx") -> DataFrame:
+    """0-based position of every row in the total order ``order`` (a
+    distributed zipWithIndex)."""
+    return ordered_prefix(df, order, None, name)
+
+
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve with tie-averaged ranks (Mann–Whitney).
 
-    AUC = Σ_s pos(s)·(neg_below(s) + neg(s)/2) / (P·N) over distinct scores s.
+    AUC = Σ_s pos(s)·(neg_below(s) + neg(s)/2) / (P·N) over distinct scores s;
+    neg_below is a distributed prefix sum over the distinct scores.
     Returns one row ``roc_auc`` (null when a class is missing).
     """
     y = (F.col(label).cast("double") > 0).cast("long")
     s = df.select(y.alias("_y"), F.col(score).cast("double").alias("_s")).filter(
         F.col("_s").isNotNull())
-    ds = _materialise(s.groupBy("_s").agg(F.sum("_y").alias("_p"),
-                                          F.sum(1 - F.col("_y")).alias("_n")))
-    lo, hi = ds.agg(F.min("_s")).scalar(), ds.agg(F.max("_s")).scalar()
-    ds = ds.withColumn("_c", _cell(F.col("_s"), lo, hi, cells))
-    cc = ds.groupBy("_c").agg(F.sum("_n").alias("_cneg"))
-    wc = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)    # ≤ cells rows
-    cc = cc.withColumn("_cb", F.coalesce(F.sum("_cneg").over(wc), F.lit(0)))
-    wv = Window.partitionBy("_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ds = ds.withColumn("_vb", F.coalesce(F.sum("_n").over(wv), F.lit(0))).join(cc, "_c")
-    contrib = F.col("_p") * (F.col("_cb") + F.col("_vb") + F.col("_n") / 2.0)
+    ds = s.groupBy("_s").agg(F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_n"))
+    ds = ordered_prefix(ds, ["_s"], "_n", "_below")
+    contrib = F.col("_p") * (F.col("_below") + F.col("_n") / 2.0)
     tot = ds.agg(F.sum(contrib).alias("_a"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
     return tot.select(F.when((F.col("_P") > 0) & (F.col("_N") > 0),
                              F.col("_a") / (F.col("_P") * F.col("_N"))).alias("roc_auc"))
