@@ -103,7 +103,8 @@ _ROLL_FEATS = D.FEATURES
 
 
 @query("hierarchy_rollup", sql=FEAT_SQL + """
-SELECT product_id, category, store_id, date, CAST(sum(quantity) AS BIGINT) AS quantity, """ +
+SELECT CAST(product_id AS VARCHAR) AS product_id, category, store_id, date,
+       CAST(sum(quantity) AS BIGINT) AS quantity, """ +
        ", ".join(f"avg({c}) AS {c}" for c in _ROLL_FEATS) + """,
        CASE grouping(product_id, category, store_id, date) WHEN 4 THEN 'sku_store'
             WHEN 8 THEN 'category' ELSE 'store' END AS hierarchy_level
@@ -111,7 +112,10 @@ FROM feat
 GROUP BY GROUPING SETS ((product_id, store_id, date), (category, store_id, date), (store_id, date))""",
        rounded=list(_ROLL_FEATS))
 def hierarchy_rollup(spark, sf_dir):
-    return finish(D.hierarchy_rollup(_features(spark, sf_dir)))
+    """The product key is null on the category and store levels; it is reported
+    as text so the nullable key compares the same in every client."""
+    r = D.hierarchy_rollup(_features(spark, sf_dir))
+    return finish(r.withColumn("product_id", F.col("product_id").cast("string")))
 
 
 @query("forecast_groups", sql=FEAT_SQL + "SELECT DISTINCT product_id, store_id, price FROM feat")
