@@ -223,3 +223,16 @@ def test_isolation_forest_ranks_planted_outliers_first(spark):
     top = [r.id for r in out.orderBy(F.desc("iso_score")).limit(10).collect()]
     assert all(t.startswith("o") for t in top)
     assert out.filter("is_anomaly = 1").count() <= 21
+
+
+def test_cold_start_customers_get_popular_list(spark):
+    tx = _tx(spark, [(f"t{i}", D(2024, 1, 1), c, p, "S", "Online", q, 1.0, 1.0, "x")
+                     for i, (c, p, q) in enumerate([(1, 10, 5), (1, 11, 1), (2, 12, 3), (2, 10, 1)])])
+    products = spark.createDataFrame([(10, "A", 5.0), (11, "A", 9.0), (12, "B", 7.0), (13, "B", 1.0)],
+                                     "product_id long, category string, price double")
+    customers = spark.createDataFrame([(1,), (2,), (3,)], "customer_id long")
+    out = E.recommend_content(tx, products, 2, customers=customers)
+    cold = [(r.product_id, r.score, r.rank) for r in
+            out.filter("customer_id = 3").orderBy("rank").collect()]
+    assert cold == [(10, 6.0, 1), (12, 3.0, 2)]          # units sold, ties by id
+    assert out.filter("customer_id = 1").count() == 2
