@@ -236,3 +236,14 @@ def test_cold_start_customers_get_popular_list(spark):
             out.filter("customer_id = 3").orderBy("rank").collect()]
     assert cold == [(10, 6.0, 1), (12, 3.0, 2)]          # units sold, ties by id
     assert out.filter("customer_id = 1").count() == 2
+
+
+def test_similar_products_at_mean_price(spark):
+    """A product priced exactly at the mean scores 0 against every other
+    category: those partners are ordered by id."""
+    products = [(1, "A", 20.0), (2, "B", 10.0), (3, "B", 30.0), (4, "C", 10.0), (5, "C", 30.0),
+                (6, "D", 20.0)]
+    pdf = spark.createDataFrame(products, "product_id long, category string, price double")
+    got = [r.similar_product_id for r in
+           E.similar_products(pdf, 3).filter("product_id = 1").orderBy("rank").collect()]
+    assert got == [2, 3, 4]
