@@ -247,3 +247,14 @@ def test_similar_products_at_mean_price(spark):
     got = [r.similar_product_id for r in
            E.similar_products(pdf, 3).filter("product_id = 1").orderBy("rank").collect()]
     assert got == [2, 3, 4]
+
+
+def test_recommend_content_zero_mean_price_profile(spark):
+    """Bought A at prices symmetric around the mean: the price score is 0, so
+    every B item scores 0 and B is ranked by id."""
+    products = [(1, "A", 10.0), (2, "A", 30.0), (5, "B", 25.0), (3, "B", 15.0), (4, "B", 20.0)]
+    tx = _tx(spark, [("t1", D(2024, 1, 1), 7, 1, "S", "Online", 1, 1.0, 1.0, "x"),
+                     ("t2", D(2024, 1, 1), 7, 2, "S", "Online", 1, 1.0, 1.0, "x")])
+    pdf = spark.createDataFrame(products, "product_id long, category string, price double")
+    got = [r.product_id for r in E.recommend_content(tx, pdf, 2).orderBy("rank").collect()]
+    assert got == _brute_content([(7, 1), (7, 2)], products, 2)[7] == [3, 4]
