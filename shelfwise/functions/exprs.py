@@ -16,17 +16,6 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def dbl(x: float) -> Column:
-    """A DOUBLE literal (a bare Python float literal is fine, but SQL text like
-    ``1.0`` is DECIMAL in Spark and truncates averages)."""
-    return F.lit(float(x)).cast("double")
-
-
-def r6(c: str | Column, places: int = 6) -> Column:
-    """Round for stable comparison across engines (float sums depend on order)."""
-    return F.round(col_(c), places)
-
-
 def safe_div(num: str | Column, den: str | Column, default: float | None = 0.0) -> Column:
     """num / den, ``default`` when the denominator is 0 or null."""
     q = F.try_divide(col_(num).cast("double"), col_(den).cast("double"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfwise.functions.exprs import calendar_columns, require_columns
+from shelfwise.functions.exprs import calendar_columns
 
 # Fixed values of the demand model:
 LAGS = (1, 7, 14, 30)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from shelfwise.operators import customers as C
 from shelfwise.plans.catalog import finish, query
 from shelfwise.sources.adapter import RetailTables

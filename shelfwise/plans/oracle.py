@@ -94,15 +94,3 @@ invoices AS (
 )
 """
 
-
-def with_adapter(body: str) -> str:
-    """Prefix an oracle query with the adapter views.
-
-    ``body`` may start with its own ``WITH``-less CTE list using the form
-    ``name AS (...), ... SELECT``; write it as a plain query and use extra
-    CTEs via ``extra_ctes``-style chaining in the body with a leading comma.
-    """
-    body = body.strip()
-    if body.startswith(","):
-        return "WITH " + ADAPTER_CTES.strip() + "\n" + body
-    return "WITH " + ADAPTER_CTES.strip() + "\n" + body

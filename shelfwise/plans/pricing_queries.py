@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from shelfwise.operators import pricing as PR
 from shelfwise.operators import profile as P
 from shelfwise.plans.catalog import finish, query

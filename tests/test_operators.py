@@ -1,12 +1,10 @@
 """Edge cases of the operators on small hand-written frames."""
 
 import datetime as dt
-import itertools
 import math
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import customers as C
