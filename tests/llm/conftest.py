@@ -1,0 +1,19 @@
+"""Small-table helpers of the llm tests."""
+
+import pytest
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    def make(rows):
+        """``(doc_id, text[, lang, source])`` rows as a documents table."""
+        full = [(*r, *[None] * (4 - len(r)), None if r[1] is None else len(r[1])) for r in rows]
+        return spark.createDataFrame(full, DOCS)
+    return make
+
+
+@pytest.fixture(scope="session")
+def table(spark):
+    return lambda name, sf="0.001": spark.read.parquet(f"/root/testdata/sf{sf}/{name}.parquet")
