@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontam, langcrf, licenses, mixing, simhash, suffix
+from shelfwise.llm import chat, decontam, langcrf, licenses, mixing, pq, simhash, suffix, urlrules, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -30,6 +30,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *,
+    length(regexp_replace(regexp_replace(replace(text, '~', '~0'), '<(\||/?s>)', '~1\1', 'g'),
+                          '\[(/?INST\])', '~2\1', 'g'))
+    + length(replace(regexp_replace(regexp_replace(replace(role, '~', '~0'), '<(\||/?s>)', '~1\1', 'g'),
+                                    '\[(/?INST\])', '~2\1', 'g'), chr(10), '~3')) AS chars
+  FROM turns),
+chats AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars + 16) AS formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss
+  FROM escaped GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(all_text) AS turns_sha256,
+       CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM chats
+"""
+
+
+@query("op1_chat_format", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("role"), F.col("text"))
+    marks = "</s>[INST] ok [/INST]"
+    both = turns.union(spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)],
+                                             "conv_id long, turn long, role string, text string"))
+    return chat.digest(chat.format_chats(both.withColumn("parts", chat.text_part("text"))))
+
+
 @query("op2_decontaminate")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -48,6 +83,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                         simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT)
+                 >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM p),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS target FROM coded)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN target IS NULL OR page_id IS NOT DISTINCT FROM target THEN 'response' ELSE 'revisit' END
+         AS record_type,
+       CASE WHEN target IS NULL OR page_id IS NOT DISTINCT FROM target THEN NULL ELSE target END AS refers_to
+FROM grouped
+"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 # Words are counted as the gaps left when runs of other bytes become one
 # separator; the fixed point of the resharing is the first source, by the
 # ratio of its cap to its weight, that stays below its cap.
@@ -92,6 +150,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"))
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langcrf.identify(_table(spark, sf_dir, "documents"))
@@ -99,6 +162,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score")
 
 
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95).withColumnRenamed(
+        "id", "vec_id")
+
+
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digest(_table(spark, sf_dir, "documents"), length=200).withColumnRenamed(
