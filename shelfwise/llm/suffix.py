@@ -405,17 +405,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, max_contents: int = 4096,
     repeats stay as they are."""
     spans = repeated_spans(docs, length, max_contents, id_col, text_col)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"),
-                       F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("t"))
+                       F.xxhash64(text_col).alias("th"))
     j = rows.join(spans, [rows.id.eqNullSafe(spans.id), rows.th == spans.th], "left")
 
     @F.pandas_udf("string")
     def left(t, s):
-        return t.combine(s, lambda x, y: x if y is None else _cut_out(
+        return t.combine(s, lambda x, y: None if y is None else _cut_out(
             (x or "").encode(), list(y))[0].decode("utf-8", "ignore"))
 
-    touched = j.filter("spans is not null").select("row", left("t", "spans").alias("kept"))
-    others = j.filter("spans is null").select("row", F.col("t").alias("kept"))
-    out = touched.filter("kept != ''").unionByName(others)
+    text = F.col(f"row.`{text_col}`").cast("string")
+    touched = F.col("spans").isNotNull()
+    # only texts that lose something go through Python, and no row is shuffled twice
+    out = j.select("row", touched.alias("touched"), left(F.when(touched, text), "spans").alias("cut"))
+    out = out.filter("not touched or cut != ''").select(
+        "row", F.when(F.col("touched"), F.col("cut")).otherwise(text).alias("kept"))
     cols = [F.col("kept").alias(c) if c == text_col else
             F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`")
             for c in docs.columns]
