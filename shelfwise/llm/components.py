@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from shelfwise.session import checkpoint_dir
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and drop the lineage."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Materialise in the shared checkpoint folder and drop the lineage;
+    ``release`` asks the driver to collect its garbage, upon which Spark deletes
+    the shuffle files of the steps before (else they stay until a collection
+    happens to run)."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if release:
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
