@@ -95,10 +95,12 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
                            .drop("_before"))
     rows = d1.join(picked.select(*by, "_c", "q", "_side"), by + ["_c"]).select(*tk, "_x")
 
-    for _ in range(MAX_LEVELS):
+    for level in range(MAX_LEVELS + 1):
         big = picked.agg(F.max("_cn")).first()[0]
         if big is None or big <= max_cell_rows:
             break
+        if level == MAX_LEVELS:
+            raise RuntimeError(f"a cell still holds {big} rows after {MAX_LEVELS} levels")
         rows = _materialise(rows)
         rng = rows.groupBy(*tk).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         if rng.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] == 0:

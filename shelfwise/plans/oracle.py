@@ -54,7 +54,7 @@ returns AS (
          (product_id * 31 + customer_id * 17) % 50 = 0 AS is_fraud,
          customer_id, product_id, total_amount AS amount_returned
   FROM tx_wide
-  WHERE l_returnflag = 'R' AND l_linenumber <= 3
+  WHERE l_returnflag = 'R'
 ),
 inventory AS (
   SELECT date, store_id, product_id,
@@ -74,7 +74,6 @@ fulfilment_orders AS (
   FROM tx_wide t
   LEFT JOIN customer c ON t.customer_id = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
-  WHERE t.date > (SELECT max(date) FROM tx_wide) - 30
 ),
 external_signals AS (
   SELECT CAST(date_trunc('month', date) AS DATE) AS year_month, avg(l_tax) AS signal

@@ -43,8 +43,9 @@ FUL_SQL = f"""
          TRUE AS inventory_available, TRUE AS feasible, o.store_id
   FROM opts0 o LEFT JOIN costs c USING (type, customer_location)
 ), oscored AS (
-  SELECT *, 0.7 * cost / max(cost) OVER (PARTITION BY order_id)
-            + 0.3 * delivery_time_days / max(delivery_time_days) OVER (PARTITION BY order_id) AS score
+  SELECT *, 0.7::DOUBLE * cost / max(cost) OVER (PARTITION BY order_id)
+            + 0.3::DOUBLE * CAST(delivery_time_days AS DOUBLE)
+              / max(delivery_time_days) OVER (PARTITION BY order_id) AS score
   FROM opts
 ), alloc AS (
   SELECT source, type, cost, delivery_time_days, inventory_available, feasible, store_id, score,

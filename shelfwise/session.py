@@ -47,8 +47,9 @@ _CHECKPOINT_DIRS: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session leaves it unset (local tests) do we create a private
-    scratch folder and register it.
+    A folder the program has set on the context is kept.  Only when neither is
+    set and the master is local (tests) do we create a private scratch folder;
+    on a cluster that is an error, since executors could not share it.
     """
     app = spark.sparkContext.applicationId
     if app in _CHECKPOINT_DIRS:
@@ -57,6 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         path = configured
+    elif spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    elif not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         path = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(path)

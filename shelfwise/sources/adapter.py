@@ -25,10 +25,8 @@ N_STORES = 50
 ONLINE_SHARE_MOD = 10       # l_orderkey % 10 < 4 → Online (40 %)
 ONLINE_BELOW = 4
 DISCOUNT_SCALE = 5          # l_discount 0..0.10 → discounts 0..50 %
-RETURN_MAX_LINE = 3         # returned lines: l_returnflag = 'R' and l_linenumber <= 3
 FRAUD_MOD = 50              # is_fraud = (product_id*31 + customer_id*17) % 50 = 0
 STOCKOUT_MOD = 20           # product_id % 20 = 0 → stock 0, stock-out
-ORDER_WINDOW_DAYS = 30      # fulfilment batch = transactions of the last 30 days
 CANCEL_MOD = 50             # invoice number gets prefix 'C' when l_orderkey % 50 = 0
 NEGATIVE_QTY_MOD = 97       # negative invoice quantity when l_partkey % 97 = 0
 SEGMENT_HIGH = ("BUILDING",)
@@ -135,8 +133,7 @@ class RetailTables:
     # -- returns ------------------------------------------------------------
     @cached_property
     def returns(self) -> DataFrame:
-        t = self._tx_wide.filter((F.col("l_returnflag") == "R")
-                                 & (F.col("l_linenumber") <= RETURN_MAX_LINE))
+        t = self._tx_wide.filter(F.col("l_returnflag") == "R")
         k = F.col("l_orderkey") % 10
         reason = (F.when(k <= 3, "Size/Fit").when(k <= 6, "Changed Mind")
                    .when(k == 7, "Defective").when(k == 8, "Not as Described")
@@ -168,15 +165,13 @@ class RetailTables:
     @cached_property
     def fulfilment_orders(self) -> DataFrame:
         tx = self._tx_wide
-        last = tx.agg(F.max("date")).scalar()                 # scalar subquery
         cust = self.star.table("customer").select("c_custkey", "c_nationkey")
         nat = self.star.table("nation").select("n_nationkey", "n_regionkey")
         loc = (F.when(F.col("n_regionkey") == 0, "Local")
                 .when(F.col("n_regionkey").isin(1, 2), "Regional")
                 .otherwise("National"))
-        recent = tx.filter(F.col("date") > F.date_sub(last, ORDER_WINDOW_DAYS))
-        return (recent
-                .join(cust, recent.customer_id == cust.c_custkey, "left")
+        return (tx
+                .join(cust, tx.customer_id == cust.c_custkey, "left")
                 .join(nat, F.col("c_nationkey") == F.col("n_nationkey"), "left")
                 .select(F.col("transaction_id").alias("order_id"), "product_id", "quantity",
                         loc.alias("customer_location"),

@@ -71,9 +71,11 @@ def score_fraud_stream(spark: SparkSession, transactions_path: str, schema: T.St
 
 
 def run_to_completion(query: StreamingQuery, timeout_sec: int = 600) -> None:
-    """Block until an ``availableNow`` query has drained its input."""
+    """Block until an ``availableNow`` query has drained its input; a query
+    still running after the time limit is stopped and reported as an error."""
     query.awaitTermination(timeout_sec)
     if query.isActive:
         query.stop()
+        raise TimeoutError(f"stopped after {timeout_sec} s with input left")
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))

@@ -157,6 +157,54 @@ def test_similar_products_matches_brute_force(spark):
         assert got[a] == [b for _, b in sc[:6]], a
 
 
+def test_recommenders_with_cent_prices_and_a_heavy_buyer(spark):
+    """Dense prices, a scan dealt anew, and a customer with most of a category."""
+    products = [(i, "A", 100 + i / 100) for i in range(300)] + [(300 + i, "B", 900.0 + i) for i in range(4)]
+    tx_rows = [(1, p) for p in range(0, 300, 2)] + [(2, 7), (2, 301), (3, 150)]
+    tx = _tx(spark, [(f"t{i}", D(2024, 1, 1), c, p, "S", "Online", 1, 1.0, 1.0, "x")
+                     for i, (c, p) in enumerate(tx_rows)])
+    pdf = spark.createDataFrame(products, "product_id long, category string, price double")
+    prices = np.array([p for _, _, p in products])
+    x = {i: (p - prices.mean()) / prices.std() for i, _, p in products}
+    cat = {i: c for i, c, _ in products}
+
+    def lists(df, key, item):
+        out = {}
+        for r in df.orderBy(key, "rank").collect():
+            out.setdefault(r[key], []).append(r[item])
+        return out
+
+    got = lists(E.similar_products(pdf, 6), "product_id", "similar_product_id")
+    for a in x:
+        score = {b: ((cat[a] == cat[b]) + x[a] * x[b]) / math.sqrt((1 + x[a] ** 2) * (1 + x[b] ** 2))
+                 for b in x if b != a}
+        best = sorted(score, key=lambda b: (-score[b], b))[:6]
+        # symmetric neighbours differ in the last bits only: compare the scores
+        assert np.allclose([score[b] for b in got[a]], [score[b] for b in best], rtol=0, atol=1e-14), a
+    recs = lists(E.recommend_content(tx, pdf, 5), "customer_id", "product_id")
+    for c in (1, 2, 3):
+        own = [p for cc, p in tx_rows if cc == c]
+        ck = {k: sum(cat[p] == k for p in own) / len(own) for k in "AB"}
+        p = sum(x[i] for i in own) / len(own)
+        score = {i: (ck[cat[i]] + p * x[i]) / math.sqrt(1 + x[i] ** 2) for i in x if i not in own}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert np.allclose([score[i] for i in recs[c]], [score[i] for i in best], rtol=0, atol=1e-13), c
+    assert lists(E.recommend_content(tx.repartition(5), pdf.repartition(7), 5), "customer_id", "product_id") == recs
+
+
+def test_costs_and_store_list_are_honoured(spark):
+    orders = spark.createDataFrame([("o1", 1, 2, "Local", None)], "order_id string, product_id long, quantity int, "
+                                   "customer_location string, preferred_store string")
+    stock = spark.createDataFrame([(1, "S1", 10), (1, "S2", 10)], "product_id long, store_id string, stock_level long")
+    costs = spark.createDataFrame([("warehouse", "Local", 50.0, 9, None), ("store", "Local", 20.0, 3, None),
+                                   ("store", "Local", 1.0, 1, "S2")],
+                                  "source_type string, zone string, cost double, days int, store_id string")
+    assert H.allocate_orders(orders, stock, costs).first().source == "S2"
+    only = spark.createDataFrame([("S1",)], "store_id string")
+    got = {(r.source, r.cost) for r in H.fulfilment_options(orders, stock, costs, only).collect()}
+    assert got == {("Warehouse", 50.0), ("S1", 20.0)}
+
+
 def test_id_encode_is_dense_and_sorted(spark):
     ids = spark.createDataFrame([(v,) for v in [50, 3, 3, 99, 7, 1000, 42]], "customer_id long")
     got = sorted((r.customer_id, r.customer_id_index) for r in E.id_encode(ids, "customer_id").collect())

@@ -4,13 +4,10 @@ plus the driver contract."""
 import pytest
 
 import __spark_entry__ as entry
-from shelfwise.plans import verify
+from shelfwise.plans import ORACLE, QUERIES, verify
 
 from conftest import SMOKE_DIR
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -25,6 +22,7 @@ def test_entry_smoke(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert len(QUERIES) == 98
 
 
