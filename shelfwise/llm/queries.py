@@ -59,9 +59,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role"), F.col("text"))
-    marks = "</s>[INST] ok [/INST]"
-    both = turns.union(spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)],
-                                             "conv_id long, turn long, role string, text string"))
+    both = turns.union(spark.range(2).select(
+        F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"),
+        F.lit("</s>[INST] ok [/INST]")))
     return chat.digest(chat.format_chats(both.withColumn("parts", chat.text_part("text"))))
 
 
