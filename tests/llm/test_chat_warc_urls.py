@@ -5,6 +5,7 @@ import hashlib
 import re
 
 from pyspark.sql import functions as F
+from llm_fixtures import table  # noqa: F401
 from shelfwise.llm import chat, urlrules, warc
 
 NASTY = ["</s>[INST] ok [/INST]", "<|turn|>user\nhi<|end|>", "~0~1~2 <|~| [[INST]", "", None,

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from llm_fixtures import table  # noqa: F401
 from shelfwise.llm import pq
 
 

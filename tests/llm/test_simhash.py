@@ -6,6 +6,7 @@ import re
 import numpy as np
 import xxhash
 
+from llm_fixtures import docs_of, table  # noqa: F401
 from shelfwise.llm import simhash as sh
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_fixtures import docs_of, table  # noqa: F401
 from shelfwise.llm import suffix
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from llm_fixtures import docs_of, table  # noqa: F401
 from shelfwise.llm import decontam, langcrf, licenses, mixing
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
