@@ -24,39 +24,47 @@ def _cost_values() -> str:
     return ", ".join(rows)
 
 
-FUL_SQL = f"""
+def _ful_sql(key: str) -> str:
+    """Options and best sources; ``key`` names an order: its row (``rid``) or, in
+    the form over exploded options, its id."""
+    return f"""
 , sstock AS (
   SELECT product_id, store_id, arg_max(stock_level, date) AS stock_level FROM inventory GROUP BY 1, 2
 ), costs AS (
   SELECT * FROM (VALUES {_cost_values()}) c(type, customer_location, cost, days)
+), fo AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid FROM fulfilment_orders   -- order ids may repeat
 ), opts0 AS (
-  SELECT order_id, product_id, quantity, customer_location, preferred_store,
+  SELECT rid, order_id, product_id, quantity, customer_location, preferred_store,
          'Warehouse' AS source, 'warehouse' AS type, CAST(NULL AS VARCHAR) AS store_id
-  FROM fulfilment_orders
+  FROM fo
   UNION ALL
-  SELECT o.order_id, o.product_id, o.quantity, o.customer_location, o.preferred_store,
+  SELECT o.rid, o.order_id, o.product_id, o.quantity, o.customer_location, o.preferred_store,
          s.store_id, 'store', s.store_id
-  FROM fulfilment_orders o JOIN sstock s ON o.product_id = s.product_id AND s.stock_level >= o.quantity
+  FROM fo o JOIN sstock s ON o.product_id = s.product_id AND s.stock_level >= o.quantity
 ), opts AS (
-  SELECT o.order_id, o.product_id, o.quantity, o.customer_location, o.source, o.type, c.cost,
+  SELECT o.rid, o.order_id, o.product_id, o.quantity, o.customer_location, o.source, o.type, c.cost,
          CASE WHEN o.type = 'store' AND o.store_id = o.preferred_store THEN 1 ELSE c.days END AS delivery_time_days,
          TRUE AS inventory_available, TRUE AS feasible, o.store_id
   FROM opts0 o LEFT JOIN costs c USING (type, customer_location)
 ), oscored AS (
-  SELECT *, 0.7::DOUBLE * cost / max(cost) OVER (PARTITION BY order_id)
+  SELECT *, 0.7::DOUBLE * cost / max(cost) OVER (PARTITION BY {key})
             + 0.3::DOUBLE * CAST(delivery_time_days AS DOUBLE)
-              / max(delivery_time_days) OVER (PARTITION BY order_id) AS score
+              / max(delivery_time_days) OVER (PARTITION BY {key}) AS score
   FROM opts
 ), alloc AS (
   SELECT source, type, cost, delivery_time_days, inventory_available, feasible, store_id, score,
          order_id, product_id, quantity
-  FROM (SELECT *, row_number() OVER (PARTITION BY order_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY {key}
                     ORDER BY score, CAST(type = 'store' AS INTEGER), store_id NULLS FIRST) AS rn
         FROM oscored) WHERE rn = 1
 )
 """
 
 
+FUL_SQL = _ful_sql("rid")
+
+
 def _rt(spark, sf_dir):
     return RetailTables.of(spark, sf_dir)
 
@@ -103,7 +111,7 @@ def fulfilment_options(spark, sf_dir):
     return H.fulfilment_options(rt.fulfilment_orders, stock, H.cost_table(spark)).select(*OPT_COLS)
 
 
-@query("best_source", sql=FUL_SQL + "SELECT order_id, source, type, cost, delivery_time_days, score FROM alloc",
+@query("best_source", sql=_ful_sql("order_id") + "SELECT order_id, source, type, cost, delivery_time_days, score FROM alloc",
        rounded=["score"])
 def best_source(spark, sf_dir):
     """The row form: best option per order over the exploded option table."""
