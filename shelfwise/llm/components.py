@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 from shelfwise.session import checkpoint_dir
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """Materialise in the shared checkpoint folder and drop the lineage;
-    ``release`` asks the driver to collect its garbage, upon which Spark deletes
-    the shuffle files of the steps before (else they stay until a collection
-    happens to run)."""
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint()
-    if release:
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+#: Spark's own setting that deletes an execution's shuffle files when it ends
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder and drop the lineage.  The
+    shuffle files of the steps before are deleted once the checkpoint is
+    written, so a long job holds those of one step only."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        # a plan of its own takes the setting up; df itself stays usable
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -331,13 +331,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, max_contents: int = 4096,
     b = blocks(d, length)
     common = (blocks(d, length).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
               .filter("n > 1").select("a"))
-    b = cut(b.join(common, "a"), release=True)
+    b = cut(b.join(common, "a"))
     content = b.groupBy("a", "c").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "pos", "n_win", "at")).alias("rep"))
     variety = content.groupBy("a").agg(F.count(F.lit(1)).alias("contents"))
-    content = cut(content.join(variety, "a"), release=True)
+    content = cut(content.join(variety, "a"))
     reps = content.filter("contents > 1").select("a", "c", "contents", "rep.*")
-    units = cut(_take_bytes(d, reps, length).dropDuplicates(["a", "c"]), release=True)
+    units = cut(_take_bytes(d, reps, length).dropDuplicates(["a", "c"]))
     sorted_ = _sort_anchors(units.filter(F.col("contents") <= max_contents), length)
     counted = _count_windows(units.filter(F.col("contents") > max_contents), length)
     single = content.filter("n = 1").select("a", "c")
@@ -348,7 +348,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, max_contents: int = 4096,
     spans = b.join(ranges, ["a", "c"]).select("id", "th", F.explode(F.transform(
         "r", lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"),
                                 (F.col("pos") + x["hi"] + (length - 1)).alias("hi")))).alias("s"))
-    return cut(spans.groupBy("id", "th").agg(F.collect_list("s").alias("spans")), release=True)
+    return cut(spans.groupBy("id", "th").agg(F.collect_list("s").alias("spans")))
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
