@@ -28,7 +28,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,28 +173,29 @@ class ItemIndex:
                         best[item_id] = key
 
 
+def _matches(batch: pa.RecordBatch, ix: ItemIndex, similarity: float
+             ) -> Iterator[tuple[int, int, int, float, int]]:
+    """``(row, item id, position, similarity, distance)`` of the texts ``t`` of a batch."""
+    for lo, _, raw, off in tx.text_chunks(batch, "t"):
+        w = tx.words(raw, off, tx.WORD_CHARS)
+        if len(w.start) == 0:
+            continue
+        wh = w.hashes()
+        for k in ix.vocab:
+            h, first = tx.shingle_hashes(wh, w.row, k)
+            hit = ix.hits(k, h)
+            row = w.row[first]
+            for r in np.unique(row[hit]).tolist():
+                a, b = np.searchsorted(row, [r, r + 1])
+                for item, (s, p, d) in ix.search(k, h[a:b], hit[a:b], similarity).items():
+                    yield lo + r, item, -p, s, -d
+
+
 def _scan(docs: DataFrame, index, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: ItemIndex = index.value
         for batch in batches:
-            rows, items, at, sims, dist = [], [], [], [], []
-            for lo, hi, raw, off in tx.text_chunks(batch, "t"):
-                w = tx.words(raw, off, tx.WORD_CHARS)
-                if len(w.start) == 0:
-                    continue
-                wh = w.hashes()
-                for k in ix.vocab:
-                    h, first = tx.shingle_hashes(wh, w.row, k)
-                    hit = ix.hits(k, h)
-                    row = w.row[first]
-                    for r in np.unique(row[hit]).tolist():
-                        a, b = np.searchsorted(row, [r, r + 1])
-                        for item, (s, p, d) in ix.search(k, h[a:b], hit[a:b], similarity).items():
-                            rows.append(lo + r)
-                            items.append(item)
-                            at.append(-p)
-                            sims.append(s)
-                            dist.append(-d)
+            found = list(_matches(batch, index.value, similarity))
+            rows, items, at, sims, dist = zip(*found, strict=True) if found else ((),) * 5
             pick = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(items, pa.int64()),
@@ -202,6 +205,19 @@ def _scan(docs: DataFrame, index, similarity: float) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+def _indexes(benchmark: DataFrame, shingle: int, radius: int, item_col: str, item_text_col: str
+             ) -> Iterator[Broadcast]:
+    """The benchmark's index, in blocks of at most about ``BLOCK_BYTES`` of text."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"),
+                             F.col(item_text_col).cast("string").alias("t")).filter("t is not null")
+    size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    n = 1 + size // BLOCK_BYTES
+    for b in range(n):
+        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == b)
+        index = ItemIndex([tuple(r) for r in block.toLocalIterator()], shingle, radius)
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingle: int = 5,
                   radius: int = 24, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -209,28 +225,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     document row and benchmark item with a window of at least ``similarity``:
     the best window (the first on ties), its first word from 0 and its SimHash
     distance; ``th`` is the text's XXH64."""
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"),
                     F.col(text_col).cast("string").alias("t"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"),
-                             F.col(item_text_col).cast("string").alias("t")).filter("t is not null")
-    size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    n = 1 + size // BLOCK_BYTES
     out = None
-    for b in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == b)
-        index = ItemIndex([tuple(r) for r in block.toLocalIterator()], shingle, radius)
-        found = _scan(d, spark.sparkContext.broadcast(index), similarity)
+    for index in _indexes(benchmark, shingle, radius, item_col, item_text_col):
+        found = _scan(d, index, similarity)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                      text_col: str = "text", **kw) -> DataFrame:
-    """The documents without a benchmark passage."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **kw).select(
-        F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "th").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).isNull().alias("none"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
-                       F.xxhash64(text_col).alias("th"))
-    return rows.join(bad, ["none", "id", "th"], "left_anti").select("row.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingle: int = 5,
+                      radius: int = 24, text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text") -> DataFrame:
+    """The documents without a benchmark passage; every row is judged where it
+    is read, nothing is shuffled."""
+    def clean(index: Broadcast):
+        @F.pandas_udf("boolean")
+        def no_match(t):
+            batch = pa.RecordBatch.from_arrays([pa.array(t, pa.large_string(), from_pandas=True)],
+                                               names=["t"])
+            out = np.ones(len(t), bool)
+            out[[m[0] for m in _matches(batch, index.value, similarity)]] = False
+            return pd.Series(out)
+        return no_match
+
+    for index in _indexes(benchmark, shingle, radius, item_col, item_text_col):
+        docs = docs.filter(clean(index)(F.col(text_col).cast("string")))
+    return docs

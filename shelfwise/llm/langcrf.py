@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -286,38 +287,40 @@ def _has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _label(batch: pa.RecordBatch, m: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and number of words of every text ``t`` of a batch."""
+    pred, score, n_words = [], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for lo, hi, raw, off in tx.text_chunks(batch, "t", 1 << 19):
+        n = hi - lo
+        p, s = np.full(n, UNKNOWN, object), np.zeros(n)
+        w = tx.words(raw, off, tx.WORD_CHARS)
+        if m is not None and len(w.start):
+            g, _ = marginals(m.emissions(w, w.hashes()), w.first, w.count, m.start, m.trans)
+            some = np.flatnonzero(w.count > 0)
+            mean = np.add.reduceat(g, w.first[some], axis=0) / w.count[some, None]
+            best = mean.argmax(axis=1)
+            ok = _has_letter(raw, off)[some]
+            p[some[ok]] = np.array(m.langs, object)[best[ok]]
+            s[some[ok]] = np.clip(mean[np.arange(len(some)), best], 0, 1)[ok]
+        pred += p.tolist()
+        score.append(s)
+        n_words.append(w.count)
+    return pred, np.concatenate(score), np.concatenate(n_words).astype(np.int64)
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """``(id, th, n_words, lang_pred, score)`` per document row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"),
                     F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            pred, score, n_words = [], [], []
-            for lo, hi, raw, off in tx.text_chunks(batch, "t", 1 << 19):
-                n = hi - lo
-                p, s = np.full(n, UNKNOWN, object), np.zeros(n)
-                w = tx.words(raw, off, tx.WORD_CHARS)
-                if m is not None and len(w.start):
-                    g, _ = marginals(m.emissions(w, w.hashes()), w.first, w.count, m.start, m.trans)
-                    some = np.flatnonzero(w.count > 0)
-                    mean = np.add.reduceat(g, w.first[some], axis=0) / w.count[some, None]
-                    best = mean.argmax(axis=1)
-                    ok = _has_letter(raw, off)[some]
-                    p[some[ok]] = np.array(m.langs, object)[best[ok]]
-                    s[some[ok]] = np.clip(mean[np.arange(len(some)), best], 0, 1)[ok]
-                pred += p.tolist()
-                score.append(s)
-                n_words.append(w.count)
-            if pred:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(np.concatenate(n_words).astype(np.int64)),
-                     pa.array(pred, pa.string()), pa.array(np.concatenate(score))],
-                    names=["id", "th", "n_words", "lang_pred", "score"])
+            pred, score, n_words = _label(batch, shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n_words), pa.array(pred, pa.string()),
+                 pa.array(score)], names=["id", "th", "n_words", "lang_pred", "score"])
 
     return d.mapInArrow(run, "id long, th long, n_words long, lang_pred string, score double")
 
@@ -337,11 +340,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_unidentified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id",
                       text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents with a language whose mean marginal is ``min_score`` or more."""
-    bad = identify(docs, id_col, text_col, lang_col).filter(
-        (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(
-        F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "th").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).isNull().alias("none"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
-                       F.xxhash64(text_col).alias("th"))
-    return rows.join(bad, ["none", "id", "th"], "left_anti").select("row.*")
+    """The documents with a language whose mean marginal is ``min_score`` or
+    more; every row is judged where it is read, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, id_col, text_col, lang_col)))
+
+    @F.pandas_udf("boolean")
+    def identified(t):
+        batch = pa.RecordBatch.from_arrays([pa.array(t, pa.large_string(), from_pandas=True)], names=["t"])
+        pred, score, _ = _label(batch, shared.value)
+        return pd.Series((np.array(pred, object) != UNKNOWN) & (score >= min_score), dtype=bool)
+
+    return docs.filter(identified(F.col(text_col).cast("string")))
