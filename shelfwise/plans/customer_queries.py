@@ -151,13 +151,10 @@ def kaplan_meier(spark, sf_dir):
 
 # -- fitted models: rows-only checks ----------------------------------------------
 
-VERIFY_CHURN = C.ChurnParams(max_iter=10)
-
-
 @query("churn_model")
 def churn_model(spark, sf_dir):
     """Held-out customers scored by the churn classifier."""
-    _, test = C.train_churn_model(_metrics(spark, sf_dir), VERIFY_CHURN)
+    _, test = C.train_churn_model(_metrics(spark, sf_dir))
     return finish(test.select("customer_id", "recency", "churn_probability"))
 
 

@@ -171,13 +171,9 @@ def counterfactual(spark, sf_dir):
     return finish(PR.counterfactual(rt.transactions, rt.products, el))
 
 
-VERIFY_BOOST = PR.BoostParams(max_iter=10)
-
-
 @query("demand_price_model")
 def demand_price_model(spark, sf_dir):
     """Held-out predictions of the boosted demand–price model (rows only)."""
     rt = _tables(spark, sf_dir)
-    _, test = PR.train_demand_price(PR.demand_price_frame(rt.transactions, rt.products),
-                                    VERIFY_BOOST)
+    _, test = PR.train_demand_price(PR.demand_price_frame(rt.transactions, rt.products))
     return finish(test.select("transaction_id", "product_id", "quantity", "prediction"))

@@ -151,9 +151,6 @@ def return_reason_share(spark, sf_dir):
     return finish(RT.return_reason_share(_ret_features(spark, sf_dir)))
 
 
-VERIFY_BOOST = RT.BoostParams(max_iter=10)
-
-
 @query("stratified_split")
 def stratified_split(spark, sf_dir):
     f = _ret_features(spark, sf_dir)
@@ -164,7 +161,7 @@ def stratified_split(spark, sf_dir):
 def _return_model(spark, sf_dir):
     rt = _rt(spark, sf_dir)
     f = RT.return_features(rt.transactions, rt.returns, rt.products, as_of=True)
-    return RT.train_return_model(f, VERIFY_BOOST)
+    return RT.train_return_model(f)
 
 
 @query("return_model")
@@ -179,7 +176,7 @@ def score_returns(spark, sf_dir):
     """Score every transaction with the fitted model (as-of features)."""
     rt = _rt(spark, sf_dir)
     f = RT.return_features(rt.transactions, rt.returns, rt.products, as_of=True)
-    model, _ = RT.train_return_model(f, VERIFY_BOOST)
+    model, _ = RT.train_return_model(f)
     return finish(RT.score_returns(model, f))
 
 
@@ -356,13 +353,10 @@ def confusion_matrix(spark, sf_dir):
     return G.confusion_matrix(s, "is_fraud", "is_fraud_predicted")
 
 
-VERIFY_FOREST = G.ForestParams(num_trees=20, max_depth=10)
-
-
 @query("fraud_classifier")
 def fraud_classifier(spark, sf_dir):
     """Held-out rows scored by the class-balanced forest (labels: is_fraud)."""
-    _, test = G.train_fraud_classifier(_fraud_features(spark, sf_dir), "is_fraud", VERIFY_FOREST)
+    _, test = G.train_fraud_classifier(_fraud_features(spark, sf_dir), "is_fraud")
     return finish(test.select("transaction_id", "is_fraud", "fraud_probability"))
 
 

@@ -246,14 +246,11 @@ def forecast_risk(spark, sf_dir):
     return finish(M.forecast_risk(_scenarios(spark, sf_dir)))
 
 
-VERIFY_FOREST = M.ForestParams(num_trees=30, max_depth=8)
-
-
 @query("trend_model")
 def trend_model(spark, sf_dir):
     """In-sample fit of the monthly trend forest."""
     f = M.monthly_features(_monthly(spark, sf_dir))
-    model = M.train_trend_model(f, VERIFY_FOREST)
+    model = M.train_trend_model(f)
     return finish(model.transform(f.fillna(0)).select(
         "category", "year_month", "quantity", F.col("_pred").alias("prediction")))
 
@@ -262,7 +259,7 @@ def trend_model(spark, sf_dir):
 def buying_horizon(spark, sf_dir):
     """Recursive 6-month forecast per category with Monte Carlo scenarios."""
     f = M.monthly_features(_monthly(spark, sf_dir))
-    model = M.train_trend_model(f, VERIFY_FOREST)
+    model = M.train_trend_model(f)
     base = M.buying_horizon(model, f, 6)
     return finish(M.forecast_risk(M.scenarios(base)))
 
