@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -240,13 +239,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     """The documents without a benchmark passage; every row is judged where it
     is read, nothing is shuffled."""
     def clean(index: Broadcast):
-        @F.pandas_udf("boolean")
-        def no_match(t):
-            batch = pa.RecordBatch.from_arrays([pa.array(t, pa.large_string(), from_pandas=True)],
-                                               names=["t"])
+        @F.arrow_udf("boolean")
+        def no_match(t: pa.Array) -> pa.Array:
+            batch = pa.RecordBatch.from_arrays([t], names=["t"])
             out = np.ones(len(t), bool)
             out[[m[0] for m in _matches(batch, index.value, similarity)]] = False
-            return pd.Series(out)
+            return pa.array(out)
         return no_match
 
     for index in _indexes(benchmark, shingle, radius, item_col, item_text_col):

@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -290,7 +289,7 @@ def _has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _label(batch: pa.RecordBatch, m: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and number of words of every text ``t`` of a batch."""
     pred, score, n_words = [], [np.zeros(0)], [np.zeros(0, np.int64)]
-    for lo, hi, raw, off in tx.text_chunks(batch, "t", 1 << 19):
+    for lo, hi, raw, off in tx.text_chunks(batch, "t"):
         n = hi - lo
         p, s = np.full(n, UNKNOWN, object), np.zeros(n)
         w = tx.words(raw, off, tx.WORD_CHARS)
@@ -344,10 +343,9 @@ def drop_unidentified(docs: DataFrame, min_score: float = 0.5, id_col: str = "do
     more; every row is judged where it is read, nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, id_col, text_col, lang_col)))
 
-    @F.pandas_udf("boolean")
-    def identified(t):
-        batch = pa.RecordBatch.from_arrays([pa.array(t, pa.large_string(), from_pandas=True)], names=["t"])
-        pred, score, _ = _label(batch, shared.value)
-        return pd.Series((np.array(pred, object) != UNKNOWN) & (score >= min_score), dtype=bool)
+    @F.arrow_udf("boolean")
+    def identified(t: pa.Array) -> pa.Array:
+        pred, score, _ = _label(pa.RecordBatch.from_arrays([t], names=["t"]), shared.value)
+        return pa.array((np.array(pred, object) != UNKNOWN) & (score >= min_score), pa.bool_())
 
     return docs.filter(identified(F.col(text_col).cast("string")))

@@ -242,7 +242,7 @@ def _sort_units(t: pa.Table, length: int) -> pa.RecordBatch:
          pa.array(hi.astype(np.int32))], names=["a", "c", "lo", "hi"])
 
 
-def _sort_anchors(units: DataFrame, length: int, max_bytes: int = 2 << 20) -> DataFrame:
+def _sort_anchors(units: DataFrame, length: int, max_bytes: int = 1 << 20) -> DataFrame:
     """``(a, c, lo, hi)``: repeated window ranges of the given blocks, each
     anchor's blocks sorted in one task (their number is bounded by the caller)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,10 +408,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, max_contents: int = 4096,
                        F.xxhash64(text_col).alias("th"))
     j = rows.join(spans, [rows.id.eqNullSafe(spans.id), rows.th == spans.th], "left")
 
-    @F.pandas_udf("string")
-    def left(t, s):
-        return t.combine(s, lambda x, y: None if y is None else _cut_out(
-            (x or "").encode(), list(y))[0].decode("utf-8", "ignore"))
+    @F.arrow_udf("string")
+    def left(t: pa.Array, s: pa.Array) -> pa.Array:
+        return pa.array([None if not y.is_valid else _cut_out(
+            (x.as_py() or "").encode(), y.as_py())[0].decode("utf-8", "ignore")
+            for x, y in zip(t, s, strict=True)], pa.string())
 
     text = F.col(f"row.`{text_col}`").cast("string")
     touched = F.col("spans").isNotNull()
