@@ -237,28 +237,22 @@ def seasonal_forecast(spark, sf_dir):
 
 # -- fitted forest: rows-only checks ------------------------------------------
 
-VERIFY_FOREST = D.ForestParams(num_trees=20, max_depth=10)
-
-
 @query("train_demand")
 def train_demand(spark, sf_dir):
-    """In-sample fit of the category-level forest (quantity vs prediction)."""
+    """In-sample fit of the product-level forest (quantity vs prediction)."""
     f = _features(spark, sf_dir)
-    model = D.train_demand(f, "category", VERIFY_FOREST)
-    s = D.level_series(f, "category")
+    model = D.train_demand(f)
+    s = D.level_series(f, "sku_store")
     return finish(model.transform(s.fillna(0)).select(
-        "category", "store_id", "date", "quantity", F.col("_pred").alias("prediction")))
+        "product_id", "store_id", "date", "quantity", F.col("_pred").alias("prediction")))
 
 
 @query("predict_demand")
 def predict_demand(spark, sf_dir):
     f = _features(spark, sf_dir)
-    model = D.train_demand(f, "category", VERIFY_FOREST)
-    return finish(D.predict_demand(model, f, "category", 30))
+    return finish(D.predict_demand(D.train_demand(f), f))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    model = D.train_demand(f, "category", VERIFY_FOREST)
-    return finish(D.feature_importance(model, spark))
+    return finish(D.feature_importance(D.train_demand(_features(spark, sf_dir)), spark))
