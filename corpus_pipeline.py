@@ -19,7 +19,8 @@ from shelfwise.session import checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go (null, no letter, score below 0.5)."""
+    """Documents without an identified language go (null, no letter, words labelled
+    with a mean certainty below 0.5); documents of several languages stay."""
     return langcrf.drop_unidentified(docs)
 
 

@@ -286,12 +286,14 @@ def _has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _label(batch: pa.RecordBatch, m: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and number of words of every text ``t`` of a batch."""
-    pred, score, n_words = [], [np.zeros(0)], [np.zeros(0, np.int64)]
+def _label(batch: pa.RecordBatch, m: Model | None
+           ) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, number of words and certainty (mean over the words of
+    each word's largest marginal) of every text ``t`` of a batch."""
+    pred, score, n_words, sure = [], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for lo, hi, raw, off in tx.text_chunks(batch, "t"):
         n = hi - lo
-        p, s = np.full(n, UNKNOWN, object), np.zeros(n)
+        p, s, c = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
         w = tx.words(raw, off, tx.WORD_CHARS)
         if m is not None and len(w.start):
             g, _ = marginals(m.emissions(w, w.hashes()), w.first, w.count, m.start, m.trans)
@@ -301,10 +303,12 @@ def _label(batch: pa.RecordBatch, m: Model | None) -> tuple[list[str], np.ndarra
             ok = _has_letter(raw, off)[some]
             p[some[ok]] = np.array(m.langs, object)[best[ok]]
             s[some[ok]] = np.clip(mean[np.arange(len(some)), best], 0, 1)[ok]
+            c[some] = np.add.reduceat(g.max(axis=1), w.first[some]) / w.count[some]
         pred += p.tolist()
         score.append(s)
         n_words.append(w.count)
-    return pred, np.concatenate(score), np.concatenate(n_words).astype(np.int64)
+        sure.append(c)
+    return pred, np.concatenate(score), np.concatenate(n_words).astype(np.int64), np.concatenate(sure)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
@@ -316,7 +320,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, n_words = _label(batch, shared.value)
+            pred, score, n_words, _ = _label(batch, shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_words), pa.array(pred, pa.string()),
                  pa.array(score)], names=["id", "th", "n_words", "lang_pred", "score"])
@@ -339,13 +343,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_unidentified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id",
                       text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents with a language whose mean marginal is ``min_score`` or
-    more; every row is judged where it is read, nothing is shuffled."""
+    """The documents with a language whose words are labelled with a certainty
+    (mean largest marginal) of ``min_score`` or more, however many languages
+    they switch between; every row is judged where it is read, nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, id_col, text_col, lang_col)))
 
     @F.arrow_udf("boolean")
     def identified(t: pa.Array) -> pa.Array:
-        pred, score, _ = _label(pa.RecordBatch.from_arrays([t], names=["t"]), shared.value)
-        return pa.array((np.array(pred, object) != UNKNOWN) & (score >= min_score), pa.bool_())
+        pred, _, _, sure = _label(pa.RecordBatch.from_arrays([t], names=["t"]), shared.value)
+        return pa.array((np.array(pred, object) != UNKNOWN) & (sure >= min_score), pa.bool_())
 
     return docs.filter(identified(F.col(text_col).cast("string")))
