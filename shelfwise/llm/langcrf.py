@@ -1,6 +1,9 @@
 """Word-level language identification by a linear-chain CRF (operator 8).
 
-Every word has affix, byte n-gram and lexicon features; the transitions
+Every word has affix, byte n-gram and lexicon features, the n-grams over all of
+its bytes; in scripts without spaces each character is a word, and other
+non-ASCII runs of more than ``PIECE`` bytes are cut into words at character
+boundaries, so that a change of language inside a run is seen.  The transitions
 between word languages are learned too, so that code-switched text is labelled
 word by word with forward-backward marginals.  A document's language is the
 one with the largest mean marginal over all its words, its score that mean.
@@ -36,9 +39,14 @@ from shelfwise.llm import text as tx
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 RUN = 32
-_HALF = 12                 # bytes of each end of a word that carry features
+PIECE = 64                 # bytes of a non-ASCII word at most
+_BLOCK = 1 << 16           # n-gram places at a time
 _GRAM = (2, 3)
 _AFFIX = (1, 2, 3, 4)
+#: scripts without spaces: Thai to Myanmar, Khmer, Tai, Balinese, East Asian, Javanese, full width
+_UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+             (0x2E80, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFE30, 0xFE4F),
+             (0xFF00, 0xFFEF))
 _ASCII_LETTER = tx.byte_set((0x41, 0x5A), (0x61, 0x7A))
 
 
@@ -46,40 +54,90 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def word_features(w: tx.Words, which: np.ndarray) -> np.ndarray:
-    """Feature buckets ``(words, features)`` of the words ``which``; absent
-    features hold ``BUCKETS`` (a row of zero weights)."""
+def _place(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return buf[np.minimum(at, len(buf) - 1)]
+
+
+def _cut(w: tx.Words, at: np.ndarray) -> tx.Words:
+    """The words cut before the bytes ``at``, where those are inside words."""
+    new = np.zeros(len(w.buf) + 1, bool)
+    new[at] = True
+    new = new[:-1] & tx.WORD_CHARS[w.buf]
+    new[w.start] = True
+    start = np.flatnonzero(new)
+    word = np.searchsorted(w.start, start, "right") - 1
+    end = np.minimum(w.end[word], np.append(start[1:], len(w.buf)))
+    row = w.row[word]
+    count = np.bincount(row, minlength=len(w.count))
+    return tx.Words(w.buf, start, end, row, (np.cumsum(count) - count).astype(np.int64), count)
+
+
+def units(raw: np.ndarray, off: np.ndarray) -> tx.Words:
+    """The words to label: runs of ``WORD_CHARS``, cut into characters in
+    scripts without spaces and into pieces where other non-ASCII runs are long."""
+    w = tx.words(raw, off, tx.WORD_CHARS)
+    buf = w.buf
+    wide = np.concatenate(([0], np.cumsum(buf >= 0x80)))
+    if not wide[-1]:
+        return w
+    lead = np.flatnonzero(buf >= 0xE0)
+    code = (((buf[lead] & 0x0F).astype(np.int64) << 12) | ((_place(buf, lead + 1) & 0x3F).astype(np.int64) << 6)
+            | (_place(buf, lead + 2) & 0x3F))
+    four = buf[lead] >= 0xF0
+    alone = np.where(four, (buf[lead] == 0xF0) & (_place(buf, lead + 1) >= 0xA0), False)
+    for lo, hi in _UNSPACED:
+        alone |= ~four & (code >= lo) & (code <= hi)
+    if alone.any():
+        w = _cut(w, np.concatenate((lead[alone], np.minimum(lead + 3 + four, len(buf))[alone])))
+    n = w.end - w.start
+    long = np.flatnonzero((n > PIECE) & (wide[w.end] > wide[w.start]))
+    if len(long):
+        more = (n[long] - 1) // PIECE
+        k = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+        at = np.repeat(w.start[long], more) + k * PIECE
+        for _ in range(3):
+            at -= (buf[at] & 0xC0) == 0x80
+        w = _cut(w, at)
+    return w
+
+
+def word_features(w: tx.Words, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature buckets of the words ``which``, as blocks of pairs (number of the
+    word in ``which``, bucket) in the order of the words."""
     start, end = w.start[which], w.end[which]
     n = end - start
-    width = np.minimum(n, 2 * _HALF)
-    at = np.arange(2 * _HALF)[None, :]
-    # long words keep both ends
-    src = np.where(at < _HALF, start[:, None] + at, end[:, None] - 2 * _HALF + at)
-    src = np.where((n <= 2 * _HALF)[:, None], start[:, None] + at, src)
-    inside = at < width[:, None]
-    m = np.full((len(which), 2 * _HALF + 2), 32, np.uint64)
-    m[:, 1:-1] = np.where(inside, w.buf[np.minimum(src, len(w.buf) - 1)], 32)
-    cols = []
-
-    def put(h: np.ndarray, kind: int, ok: np.ndarray) -> None:
-        b = tx.mix(h * tx.U(64) + tx.U(kind)) >> tx.U(48)
-        cols.append(np.where(ok, b.astype(np.int64) % BUCKETS, BUCKETS))
-
-    for k in _GRAM:
-        h = m[:, :m.shape[1] - k + 1].copy()
-        for j in range(1, k):
-            h = h * tx.U(257) + m[:, j:m.shape[1] - k + 1 + j]
-        put(h, k, np.arange(h.shape[1])[None, :] + k <= (width + 2)[:, None])
+
+    def bucket(h: np.ndarray, kind: int) -> np.ndarray:
+        return (tx.mix(h * tx.U(64) + tx.U(kind)) >> tx.U(48)).astype(np.int64) % BUCKETS
+
+    # n-grams start at the blank before the word and end at the blank after it
+    head = np.concatenate(([0], np.cumsum(n + 1)))
+    for lo in range(0, int(head[-1]), _BLOCK):
+        at = np.arange(lo, min(lo + _BLOCK, int(head[-1])))
+        word = np.searchsorted(head, at, "right") - 1
+        i = at - head[word]
+        h = np.zeros(len(at), tx.U)
+        for j in range(max(_GRAM)):
+            inside = (i + j >= 1) & (i + j <= n[word])
+            h = h * tx.U(257) + np.where(inside, _place(w.buf, start[word] + np.maximum(i + j - 1, 0)), 32)
+            if j + 1 in _GRAM:
+                ok = i + j <= n[word] + 1
+                yield word[ok], bucket(h[ok], j + 1)
     pre = np.zeros(len(which), tx.U)
     suf = np.zeros(len(which), tx.U)
-    rows = np.arange(len(which))
     for k in range(1, max(_AFFIX) + 1):
-        pre = pre * tx.U(257) + m[:, k]
-        suf = suf * tx.U(257) + m[rows, np.maximum(width - k + 1, 0)]
+        pre = pre * tx.U(257) + _place(w.buf, start + k - 1)
+        suf = suf * tx.U(257) + w.buf[np.maximum(end - k, 0)]
         if k in _AFFIX:
-            put(pre[:, None], 8 + k, (n >= k)[:, None])
-            put(suf[:, None], 16 + k, (n >= k)[:, None])
-    return np.concatenate(cols, axis=1)
+            ok = np.flatnonzero(n >= k)
+            yield ok, bucket(pre[ok], 8 + k)
+            yield ok, bucket(suf[ok], 16 + k)
+
+
+def _sums(word: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows ``x`` for each word; ``word`` is sorted."""
+    at = np.flatnonzero(np.diff(word, prepend=-1))
+    return word[at], np.add.reduceat(x, at, axis=0) if len(at) else x
 
 
 @dataclass
@@ -102,9 +160,9 @@ class Model:
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         out = self.lex_weights[self.lex_place(distinct)].astype(np.float64)
         for k in range(0, len(first), 8192):
-            f = word_features(w, first[k:k + 8192])
-            for col in f.T:
-                out[k:k + 8192] += self.weights[col]
+            for word, f in word_features(w, first[k:k + 8192]):
+                word, x = _sums(word, self.weights[f].astype(np.float64))
+                out[k + word] += x
         return out[back]
 
 
@@ -189,7 +247,7 @@ def _sample(docs: DataFrame, docs_per_lang: int, segments: int, segment_words: i
         for batch in batches:
             out = []
             for lo, hi, raw, off in tx.text_chunks(batch, "t"):
-                w = tx.words(raw, off, tx.WORD_CHARS)
+                w = units(raw, off)
                 for r in range(hi - lo):
                     n = int(w.count[r])
                     k = min(segments, n // segment_words)
@@ -227,7 +285,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 60, segments: int = 8, segment_wor
         off.append(len(raw))
     first_len = np.array([len(rows[a][2]) for a in order])
     off = np.array(off)
-    w = tx.words(np.frombuffer(bytes(raw), np.uint8), off, tx.WORD_CHARS)
+    w = units(np.frombuffer(bytes(raw), np.uint8), off)
     seqs = np.array(seqs)
     label = np.where(w.start - off[:-1][w.row] < first_len[w.row], seqs[w.row, 0], seqs[w.row, 1])
     h = w.hashes()
@@ -236,7 +294,11 @@ def fit(docs: DataFrame, docs_per_lang: int = 60, segments: int = 8, segment_wor
     m = Model(langs, np.zeros((BUCKETS + 1, n_lab)), distinct[n >= min_lexicon],
               np.zeros((int((n >= min_lexicon).sum()) + 1, n_lab)), np.zeros(n_lab),
               np.zeros((n_lab, n_lab)))
-    feats = word_features(w, at)
+    pairs = list(word_features(w, at))
+    word = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, np.int64)
+    feats = np.concatenate([x for _, x in pairs])[np.argsort(word, kind="stable")] if pairs else word
+    n_feats = np.bincount(word, minlength=len(distinct))
+    head = np.cumsum(n_feats) - n_feats
     lex = m.lex_place(distinct)
     squares = [np.full_like(p, 1e-8) for p in (m.weights, m.lex_weights, m.start, m.trans)]
     batch = 128
@@ -245,15 +307,19 @@ def fit(docs: DataFrame, docs_per_lang: int = 60, segments: int = 8, segment_wor
             lo_w, hi_w = int(w.first[lo]), int((w.first + w.count)[min(lo + batch, len(seqs)) - 1])
             if lo_w == hi_w:
                 continue
-            words_ = back[lo_w:hi_w]
-            e = m.weights[feats[words_]].sum(axis=1) + m.lex_weights[lex[words_]]
+            words_, which = np.unique(back[lo_w:hi_w], return_inverse=True)
+            of = np.repeat(np.arange(len(words_)), n_feats[words_])
+            f = feats[np.arange(len(of)) + (head[words_] - np.cumsum(n_feats[words_]) + n_feats[words_])[of]]
+            e = (_sums(of, m.weights[f])[1] + m.lex_weights[lex[words_]])[which]
             first, count = w.first[lo:lo + batch] - lo_w, w.count[lo:lo + batch]
             p, down = marginals(e, first, count, m.start, m.trans)
             y = np.eye(n_lab)[label[lo_w:hi_w]]
             g = y - p
             grads = [np.zeros_like(m.weights), np.zeros_like(m.lex_weights)]
-            np.add.at(grads[0], feats[words_], np.broadcast_to(g[:, None, :], (*feats[words_].shape, n_lab)))
-            np.add.at(grads[1], lex[words_], g)
+            of_word = np.zeros((len(words_), n_lab))
+            np.add.at(of_word, which, g)
+            np.add.at(grads[0], f, of_word[of])
+            np.add.at(grads[1], lex[words_], of_word)
             heads = first[count > 0]
             grads.append(g[heads].sum(axis=0))
             # transitions: observed against expected pairs of neighbours
@@ -294,7 +360,7 @@ def _label(batch: pa.RecordBatch, m: Model | None
     for lo, hi, raw, off in tx.text_chunks(batch, "t"):
         n = hi - lo
         p, s, c = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
-        w = tx.words(raw, off, tx.WORD_CHARS)
+        w = units(raw, off)
         if m is not None and len(w.start):
             g, _ = marginals(m.emissions(w, w.hashes()), w.first, w.count, m.start, m.trans)
             some = np.flatnonzero(w.count > 0)
