@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, decontam, langcrf, licenses, mixing, pq, simhash, suffix, urlrules, warc
+from shelfwise.llm import (chat, decontam, langcrf, licenses, mixing, pq, runs, simhash, suffix, urlrules,
+                           warc)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -172,3 +173,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digest(_table(spark, sf_dir, "documents"), length=200).withColumnRenamed(
         "id", "doc_id")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.planted_repeats(_table(spark, sf_dir, "documents")),
+                               min_length=6, min_exponent=4)
+    return runs.digest(found).withColumnRenamed("id", "doc_id")
