@@ -5,13 +5,16 @@ Each query applies its operator with production parameters to its whole table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import (chat, decontam, langcrf, licenses, mixing, pq, runs, simhash, suffix, urlrules,
-                           warc)
+from shelfwise.llm import (chat, decontam, langcrf, licenses, mixing, pq, runs, simhash, suffix, tokenrecords,
+                           urlrules, warc)
+from shelfwise.session import checkpoint_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -175,6 +178,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "doc_id")
 
 
+@query("op11_token_records")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/token-records-{uuid.uuid4().hex}"
+    tokenrecords.write(_table(spark, sf_dir, "documents"), folder,
+                       public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenrecords.digest(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.periodic_runs(runs.planted_repeats(_table(spark, sf_dir, "documents")),
