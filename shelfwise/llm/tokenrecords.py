@@ -20,9 +20,9 @@ files of committed tasks are in ``blocks``: a lost or repeated task leaves files
 that no reader sees.  Files are written by ``pyarrow.fs`` into a folder that all
 executors share.
 
-Texts are encoded whole.  Pieces between spaces are encoded once per task and
-reused: the tokenizer's pattern always ends a match before a space that follows
-a visible ASCII character, so the ids of a text are those of its pieces.
+Texts are encoded whole.  A text is cut where the tokenizer's pattern always ends a
+match (see ``Encoder._cuts``), so its ids are those of its pieces; pieces are encoded
+once per task and reused.
 
 Defined cases: null and empty texts have no ids but the end id; null ids come
 first; rows with equal ids follow each other in any order; an empty table gives
@@ -34,6 +34,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -53,7 +54,13 @@ NULL_ID, WIDE = 1, 2
 #: 16-bit words before the ids of a record (frame 6, payload header 8) and after them
 _HEAD, _TAIL = 14, 2
 BLOCKS = ("part int, place int, file string, first long, records long, lo long, hi long, ids long")
-_KEPT_PIECES = 1 << 18
+_KEPT_PIECES = 1 << 20
+_LETTER, _DIGIT, _MARK, _SPACE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)               # 0: what the rules leave alone
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
 
 
 @contextmanager
@@ -77,17 +84,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self._whole = [] if specials_are_text else [
+            t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes()
+        return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
+    def _cuts(self, raw: np.ndarray) -> np.ndarray:
+        """Bytes at which a piece may start.  The pattern's matches are letters,
+        digits or other marks, each with at most one space before; white space; and
+        an apostrophe with one or two letters.  Between ASCII characters a match
+        therefore ends after a letter before anything else, after a digit before
+        anything else, after a mark but the apostrophe before a letter or digit,
+        before white space, and after a single line feed between visible characters."""
+        cut = np.zeros(len(raw), bool)
+        c = _CLASS[raw]
+        a, b = c[:-1], c[1:]
+        cut[1:] = (a != b) & (a > 0) & (b > 0) & (a != _SPACE) & ((raw[:-1] != 0x27) | (b == _SPACE))
+        cut[2:] |= (raw[1:-1] == 0x0A) & (b[1:] > 0) & (b[1:] != _SPACE) & (c[:-2] > 0) & (c[:-2] != _SPACE)
+        data = raw.tobytes() if self._whole else b""
+        for token in self._whole:               # added tokens are matched before the pattern
+            at = data.find(token)
+            while at >= 0:
+                cut[at + 1:at + len(token)] = False
+                at = data.find(token, at + 1)
+        return cut
+
     def ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a chunk, one after the other, and the ids per row."""
         rows = len(off) - 1
-        start = np.zeros(len(raw), bool)
-        start[1:] = (raw[1:] == 0x20) & (raw[:-1] > 0x20) & (raw[:-1] < 0x7F)
+        start = self._cuts(raw)
         start[off[:-1][np.diff(off) > 0]] = True
         at = np.flatnonzero(start)
         if len(at) == 0:
@@ -206,7 +234,7 @@ class _Shard:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None,
-          specials_are_text: bool = False, shard_bytes: int = 256 << 20, block_bytes: int = 8 << 20,
+          specials_are_text: bool = False, shard_bytes: int = 256 << 20, block_bytes: int = 4 << 20,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode the texts with the tokenizer file and write them in ascending id
     order; the table of blocks, which is also kept as Parquet in the folder."""
@@ -318,9 +346,13 @@ def _read(spark: SparkSession, folder: str, schema: str, columns, step: int = 1
                         k = e
 
     b = blocks(spark, folder).select("file", "first", "records", "hi", "base")
-    # every block is a reading task's row; hashing spreads them
-    return (b.repartition(F.xxhash64("file", "first")).mapInArrow(
-        run, f"id long, start long, {schema}"))
+    return _spread(b).mapInArrow(run, f"id long, start long, {schema}")
+
+
+def _spread(b: DataFrame) -> DataFrame:
+    """Blocks, some to a task: their rows are tiny, so the number of tasks is given."""
+    tasks = max(1, min(b.count() // 4, 100_000))
+    return b.repartition(tasks, F.xxhash64("file", "first"))
 
 
 def read_shuffled(spark: SparkSession, folder: str, seed: int = 0) -> DataFrame:
@@ -357,7 +389,7 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int = 0) -> DataFrame:
                     [pa.array(doc_of, pa.int64()), pa.array(ids_of, pa.list_(pa.int64()))], names=["id", "ids"])
 
     b = blocks(spark, folder).select("file", "first", "records", "hi")
-    spread = b.repartition(F.xxhash64("file", "first")).mapInArrow(places, places_schema)
+    spread = _spread(b).mapInArrow(places, places_schema)
     draw = F.xxhash64(F.lit(seed), "file", "lo")
     return (spread.withColumn("draw", draw).repartitionByRange("draw").sortWithinPartitions("draw")
             .select("file", "lo", "hi").mapInArrow(fetch, "id long, ids array<long>"))

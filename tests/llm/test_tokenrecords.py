@@ -61,7 +61,7 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
 
 
 def test_special_strings():
-    texts = ["a <|endoftext|> b", " <|endoftext|>", "<|endoftext|><|endoftext|>x", "we're it's  I'll", ""]
+    texts = ["a\n<|endoftext|>\nb", "a \n<|endoftext|>\n\nb.\nC\n\n D", "it's 'sx ''s 12'll 's", "a <|endoftext|> b", " <|endoftext|>", "<|endoftext|><|endoftext|>x", "we're it's  I'll", ""]
     assert encode(texts) == [whole(t) for t in texts]
     assert 50256 not in tr.Encoder(PATH, specials_are_text=True).ids(
         np.frombuffer(b"<|endoftext|>", np.uint8), np.array([0, 13]))[0]
