@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import (chat, decontam, langcrf, licenses, mixing, pq, runs, simhash, suffix, tokenrecords,
+from shelfwise.llm import (chat, decontam, langcrf, lexsearch, licenses, mixing, pq, runs, simhash, suffix, tokenrecords,
                            urlrules, warc)
 from shelfwise.session import checkpoint_dir
 
@@ -186,6 +186,49 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenrecords.digest(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+OP12_SQL = r"""
+WITH listed AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+total AS (
+  SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms
+  FROM listed),
+long AS (
+  SELECT r, doc_id, 25 + (75 * CAST(len(terms) AS BIGINT) * n_docs) // n_terms AS m FROM listed, total
+  WHERE len(terms) > 0),
+freq AS (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM listed)
+  GROUP BY r, term),
+asked AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark),
+wanted AS (
+  SELECT q, item_id, term, CAST(count(*) AS BIGINT) AS times
+  FROM (SELECT q, item_id, unnest(terms) AS term FROM asked) GROUP BY q, item_id, term),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM freq, total GROUP BY term),
+scored AS (
+  SELECT q, item_id, r, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weighed USING (term) JOIN freq USING (term) JOIN long USING (r)
+  GROUP BY q, item_id, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.periodic_runs(runs.planted_repeats(_table(spark, sf_dir, "documents")),
