@@ -7,9 +7,10 @@ else, in the same document or another.
    hash (leftmost on ties), so equal windows have equal anchors at equal
    offsets.  Consecutive windows with one anchor form a block; blocks whose
    anchor occurs once in the corpus cannot repeat and leave.
-2. Blocks with equal content collapse to one representative with a count
-   (before the shuffle, so a passage in a third of all documents is one row
-   per task).
+2. Texts that occur in several rows are one text with a count, and blocks with
+   equal content collapse to one representative with a count (partial sums
+   before the shuffle, so a passage in a third of all documents is one row per
+   task).  Texts and blocks are told apart by 128-bit hashes.
 3. Where an anchor has several contents, their suffixes are sorted: a merge
    sort whose comparisons find the common extension of two suffixes by binary
    search over prefix polynomial hashes.  Neighbours that agree on ``length``
@@ -18,8 +19,9 @@ else, in the same document or another.
    different buckets share no window.
 4. An anchor with more than ``max_contents`` contents (a common passage with
    many different surroundings) is not gathered in one task: its windows are
-   counted one by one by a 128-bit hash with partial aggregates, which is
-   exact for any size.
+   counted by a 128-bit hash with partial aggregates, and the repeated ones are
+   looked up where the blocks are (a broadcast of at most ``MAX_SENT`` hashes,
+   else a join).  The result is the same, but for collisions of that hash.
 
 Defined cases: null text is empty; texts shorter than ``length`` bytes keep
 everything; repeated rows are documents of their own (so they repeat each
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import text as tx
@@ -45,6 +47,7 @@ GRAM = 40
 PIECE = 8 << 20            # bytes of a long text that are scanned at once
 _POS_BITS = 24
 _POS = tx.U((1 << _POS_BITS) - 1)
+MAX_SENT = 1 << 20         # window hashes of 16 bytes that may be broadcast
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -84,11 +87,11 @@ def _blocks(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def blocks(docs: DataFrame, length: int) -> DataFrame:
-    """``(id, th, pos, n_win, at, a, c)``: the blocks of every document; ``a``
-    hashes the anchor, ``c`` the block's bytes, ``at`` is the anchor's offset."""
+    """``(th, tg, pos, n_win, at, a, c)``: the blocks of every text; ``a`` hashes
+    the anchor, ``c`` the block's bytes, ``at`` is the anchor's offset."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, th = batch.column(0), batch.column(1)
+            th, tg = batch.column(0), batch.column(1)
             for lo, _, raw, off in tx.text_chunks(batch, "t"):
                 pieces = [(0, raw, off)]
                 if len(off) == 2 and len(raw) > PIECE:
@@ -100,19 +103,19 @@ def blocks(docs: DataFrame, length: int) -> DataFrame:
                     if len(start) == 0:
                         continue
                     data = b.tobytes()
-                    digest = xxhash.xxh3_64_intdigest
-                    c = np.fromiter((digest(data[x:y]) for x, y in zip(
-                        start.tolist(), (start + n_win + length - 1).tolist(), strict=True)),
-                        tx.U, len(start))
+                    digest = xxhash.xxh3_128_digest
+                    c = [digest(data[x:y]) for x, y in zip(
+                        start.tolist(), (start + n_win + length - 1).tolist(), strict=True)]
                     row = np.searchsorted(o, start, "right") - 1
                     pick = pa.array(row + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pick), th.take(pick), pa.array(start - o[row] + shift),
+                        [th.take(pick), tg.take(pick), pa.array(start - o[row] + shift),
                          pa.array(n_win.astype(np.int32)), pa.array(at.astype(np.int32)),
-                         pa.array(a), pa.array(c.view(np.int64))],
-                        names=["id", "th", "pos", "n_win", "at", "a", "c"])
+                         pa.array(a), pa.array(c, pa.binary())],
+                        names=["th", "tg", "pos", "n_win", "at", "a", "c"])
 
-    return docs.mapInArrow(run, "id long, th long, pos long, n_win int, at int, a long, c long")
+    return docs.select("th", "tg", "t").mapInArrow(
+        run, "th long, tg long, pos long, n_win int, at int, a long, c binary")
 
 
 class SuffixOrder:
@@ -214,6 +217,8 @@ class SuffixOrder:
 
 def _ranges(unit: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows: unit, first window, end window."""
+    if len(w) == 0:
+        return unit, w, w
     cutp = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (w[1:] != w[:-1] + 1))))
     last = np.append(cutp[1:], len(w)) - 1
     return unit[cutp], w[cutp], w[last] + 1
@@ -235,11 +240,18 @@ def _sort_units(t: pa.Table, length: int) -> pa.RecordBatch:
     pos = off[unit] + w
     rep = SuffixOrder(buf, length).repeats(pos[order], bucket[order])
     u = np.searchsorted(off, rep, "right") - 1
-    u, lo, hi = _ranges(u, rep - off[u])
-    pick = pa.array(u)
+    return _range_rows(t, *_ranges(u, rep - off[u]))
+
+
+def _range_rows(t: pa.Table, u: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """``(a, c, lo, hi)`` of window ranges of units; a content that occurs more
+    than once is repeated as a whole and needs none."""
+    once = t["n"].to_numpy()[u] == 1
+    pick = pa.array(u[once])
     return pa.RecordBatch.from_arrays(
-        [pa.array(a[u]), t["c"].combine_chunks().take(pick), pa.array(lo.astype(np.int32)),
-         pa.array(hi.astype(np.int32))], names=["a", "c", "lo", "hi"])
+        [t["a"].combine_chunks().take(pick), t["c"].combine_chunks().take(pick),
+         pa.array(lo[once].astype(np.int32)), pa.array(hi[once].astype(np.int32))],
+        names=["a", "c", "lo", "hi"])
 
 
 def _sort_anchors(units: DataFrame, length: int, max_bytes: int = 1 << 20) -> DataFrame:
@@ -264,40 +276,68 @@ def _sort_anchors(units: DataFrame, length: int, max_bytes: int = 1 << 20) -> Da
         if held:
             yield _sort_units(pa.Table.from_batches(held), length)
 
-    return (units.select("a", "c", "n_win", "at", "bytes").repartition("a").sortWithinPartitions("a")
-            .mapInArrow(run, "a long, c long, lo int, hi int"))
+    return (units.select("a", "c", "n_win", "at", "n", "bytes").repartition("a").sortWithinPartitions("a")
+            .mapInArrow(run, "a long, c binary, lo int, hi int"))
+
+
+def _windows(units: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Unit, place and 128-bit hash of every window of the units."""
+    digest = xxhash.xxh3_128_digest
+    n_win = units["n_win"].to_numpy().astype(np.int64)
+    h = [digest(b[i:i + length]) for b, n in zip(units["bytes"].to_pylist(), n_win.tolist(), strict=True)
+         for i in range(n)]
+    unit = np.repeat(np.arange(len(n_win)), n_win)
+    return unit, np.arange(len(unit)) - np.repeat(np.cumsum(n_win) - n_win, n_win), h
 
 
-def _count_windows(units: DataFrame, length: int) -> DataFrame:
+def _count_windows(units: DataFrame, length: int, max_sent: int = MAX_SENT) -> DataFrame:
     """The same for blocks of anchors with too many contents for one task:
     windows are counted by hash over the whole cluster."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+    units = units.select("a", "c", "n_win", "n", "bytes")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
-                a, c, w, h = [], [], [], []
-                for r in batch.slice(lo, 1000).to_pylist():
-                    b = r["bytes"]
-                    for i in range(r["n_win"]):
-                        a.append(r["a"])
-                        c.append(r["c"])
-                        w.append(i)
-                        h.append(digest(b[i:i + length]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(w, pa.int32()),
-                     pa.array(h, pa.binary())], names=["a", "c", "w", "h"])
+                    [pa.array(_windows(batch.slice(lo, 1000), length)[2], pa.binary())], names=["h"])
 
-    rows = units.select("a", "c", "n_win", "bytes").mapInArrow(run, "a long, c long, w int, h binary")
-    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return rows.join(twice, "h").select("a", "c", F.col("w").alias("lo"), (F.col("w") + 1).alias("hi"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                unit, w, h = _windows(part, length)
+                pick = pa.array(unit)
+                yield pa.RecordBatch.from_arrays(
+                    [part["a"].take(pick), part["c"].take(pick), part["n"].take(pick),
+                     pa.array(w.astype(np.int32)), pa.array(h, pa.binary())], names=["a", "c", "n", "w", "h"])
+
+    twice = cut(units.mapInArrow(hashes, "h binary").groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+                .filter("k > 1").select("h"))
+    if twice.count() > max_sent:
+        windows = units.mapInArrow(rows, "a long, c binary, n long, w int, h binary")
+        return (windows.filter("n = 1").join(twice, "h")
+                .select("a", "c", F.col("w").alias("lo"), (F.col("w") + 1).alias("hi")))
+    sent = units.sparkSession.sparkContext.broadcast(frozenset(bytes(r.h) for r in twice.collect()))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                unit, w, h = _windows(part, length)
+                hit = np.fromiter((x in sent.value for x in h), bool, len(h))
+                yield _range_rows(pa.Table.from_batches([part]), *_ranges(unit[hit], w[hit]))
+
+    return units.mapInArrow(ranges, "a long, c binary, lo int, hi int")
 
 
 def _take_bytes(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """Representatives with the bytes of their blocks (each text read once)."""
-    want = reps.groupBy("id", "th").agg(F.collect_list(
-        F.struct("pos", "a", "c", "n_win", "at", "contents")).alias("want"))
-    on = [docs.id.eqNullSafe(want.id), docs.th == want.th]
-    schema = "a long, c long, n_win int, at int, contents long, bytes binary"
+    """Representatives with the bytes of their blocks.  Each text is read once; a
+    text in many rows is one row before the join."""
+    want = reps.groupBy("th", "tg").agg(F.collect_list(
+        F.struct("pos", "a", "c", "n_win", "at", "contents", "n")).alias("want"))
+    texts = docs.groupBy("th", "tg").agg(F.first("t").alias("t"))
+    schema = "a long, c binary, n_win int, at int, contents long, n long, bytes binary"
+    fields = ("a", "c", "n_win", "at", "contents", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,50 +345,52 @@ def _take_bytes(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                 want = batch.column(1).slice(lo, hi - lo)
                 flat = want.flatten()
                 row = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(want).to_numpy())
-                f = {x: flat.field(x) for x in ("pos", "a", "c", "n_win", "at", "contents")}
-                start = off[row] + f["pos"].to_numpy()
-                end = start + f["n_win"].to_numpy() + length - 1
+                start = off[row] + flat.field("pos").to_numpy()
+                end = start + flat.field("n_win").to_numpy() + length - 1
                 data = raw.tobytes()
                 b = pa.array([data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)],
                              pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [f["a"], f["c"], f["n_win"], f["at"], f["contents"], b],
-                    names=["a", "c", "n_win", "at", "contents", "bytes"])
+                yield pa.RecordBatch.from_arrays([*[flat.field(x) for x in fields], b], names=[*fields, "bytes"])
+
+    return texts.join(want, ["th", "tg"]).select("t", "want").mapInArrow(run, schema)
 
-    return docs.join(want, on).select("t", "want").mapInArrow(run, schema)
+
+def _hashes(text: Column) -> list[Column]:
+    """Two 64-bit hashes that name a text."""
+    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit("second"), text).alias("tg")]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"),
-                       F.col(text_col).cast("string").alias("t"))
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), *_hashes(t), t.alias("t"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, max_contents: int = 4096,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, th, spans)`` for the documents that repeat anything: byte ranges
-    (unmerged) as an array of ``(lo, hi)``; ``th`` is the text's XXH64."""
-    d = _keyed(docs, id_col, text_col)
-    b = blocks(d, length)
-    common = (blocks(d, length).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-              .filter("n > 1").select("a"))
-    b = cut(b.join(common, "a"))
-    content = b.groupBy("a", "c").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "pos", "n_win", "at")).alias("rep"))
-    variety = content.groupBy("a").agg(F.count(F.lit(1)).alias("contents"))
-    content = cut(content.join(variety, "a"))
-    reps = content.filter("contents > 1").select("a", "c", "contents", "rep.*")
-    units = cut(_take_bytes(d, reps, length).dropDuplicates(["a", "c"]))
-    sorted_ = _sort_anchors(units.filter(F.col("contents") <= max_contents), length)
-    counted = _count_windows(units.filter(F.col("contents") > max_contents), length)
-    single = content.filter("n = 1").select("a", "c")
-    parts = (sorted_.union(counted).join(single, ["a", "c"], "left_semi")
-             .unionByName(content.filter("n > 1").select(
-                 "a", "c", F.lit(0).alias("lo"), F.col("rep.n_win").alias("hi"))))
-    ranges = parts.groupBy("a", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
-    spans = b.join(ranges, ["a", "c"]).select("id", "th", F.explode(F.transform(
+    """``(th, tg, spans)`` for the texts that repeat anything: byte ranges
+    (unmerged) as an array of ``(lo, hi)``, one row a text, in however many rows of
+    the documents it occurs."""
+    d = _keyed(docs, id_col, text_col).filter(F.octet_length("t") >= length)
+    # what is joined on an anchor comes from checkpoints, so that a hot one can be split
+    common = cut(blocks(d, length).groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+                 .filter("k > 1").select("a"))
+    b = cut(blocks(d, length).join(common, "a").groupBy("th", "tg", "pos").agg(
+        F.first(F.struct("n_win", "at", "a", "c")).alias("b"), F.count(F.lit(1)).alias("n")).select(
+        "th", "tg", "pos", "b.*", "n"))
+    content = cut(b.groupBy("a", "c").agg(
+        F.sum("n").alias("n"), F.min(F.struct("th", "tg", "pos", "n_win", "at")).alias("rep")))
+    variety = cut(content.groupBy("a").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1"))
+    reps = content.join(variety, "a").select("a", "c", "contents", "n", "rep.*")
+    units = cut(_take_bytes(d, reps, length))
+    parts = (_sort_anchors(units.filter(F.col("contents") <= max_contents), length)
+             .union(_count_windows(units.filter(F.col("contents") > max_contents), length))
+             .union(content.filter("n > 1").select("a", "c", F.lit(0), F.col("rep.n_win"))))
+    ranges = cut(parts.groupBy("a", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("r")))
+    # a text has at most one block a byte, a block at most length ranges
+    spans = b.join(ranges, ["a", "c"]).select("th", "tg", F.transform(
         "r", lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"),
-                                (F.col("pos") + x["hi"] + (length - 1)).alias("hi")))).alias("s"))
-    return cut(spans.groupBy("id", "th").agg(F.collect_list("s").alias("spans")))
+                                (F.col("pos") + x["hi"] + (length - 1)).alias("hi"))).alias("s"))
+    return cut(spans.groupBy("th", "tg").agg(F.flatten(F.collect_list("s")).alias("spans")))
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
@@ -377,8 +419,7 @@ def removal_digest(docs: DataFrame, length: int = 200, max_contents: int = 4096,
     """Per document ``id, n_bytes, n_removed, n_spans, kept_sha256``."""
     d = _keyed(docs, id_col, text_col)
     spans = repeated_spans(docs, length, max_contents, id_col, text_col)
-    j = d.join(spans, [d.id.eqNullSafe(spans.id), d.th == spans.th], "left").select(
-        d.id, "t", "spans")
+    j = d.join(spans, ["th", "tg"], "left").select("id", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,11 +443,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, max_contents: int = 4096,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their repeated bytes (a character cut in two goes
     whole); a document that loses all its bytes is dropped, documents without
-    repeats stay as they are."""
+    repeats stay as they are.  A column ``n_chars`` is set to the characters left,
+    as a long."""
     spans = repeated_spans(docs, length, max_contents, id_col, text_col)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"),
-                       F.xxhash64(text_col).alias("th"))
-    j = rows.join(spans, [rows.id.eqNullSafe(spans.id), rows.th == spans.th], "left")
+    rows = docs.select(F.struct("*").alias("row"), *_hashes(
+        F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    j = rows.join(spans, ["th", "tg"], "left")
 
     @F.arrow_udf("string")
     def left(t: pa.Array, s: pa.Array) -> pa.Array:

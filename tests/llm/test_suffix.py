@@ -60,6 +60,49 @@ def test_edge_cases(docs_of, awkward, max_contents):
     assert found(docs_of(awkward), max_contents=max_contents) == brute(awkward)
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_counted_windows_by_join_and_by_broadcast(docs_of, awkward, sent, monkeypatch):
+    monkeypatch.setattr(suffix._count_windows, "__defaults__", (sent,))
+    assert found(docs_of(awkward), max_contents=1) == brute(awkward)
+
+
+def sharing(sizes):
+    """Two documents for each size that share a passage of so many bytes."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    out = []
+    for i in sizes:
+        common = text(i)
+        out += [(2 * i, f"{text(400)}x{common}y{text(300)}"), (2 * i + 1, f"{text(250)}z{common}w{text(500)}")]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[150], [1, 39, 40, 41, 150, 199, 200, 201, 229]])
+def test_documents_that_share_some_bytes(docs_of, sizes):
+    rows = sharing(sizes)
+    assert found(docs_of(rows)) == brute(rows)
+
+
+def test_one_common_passage_in_many_documents(docs_of):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for size in (150, 229):
+        common = text(size)
+        rows = [(i, f"{i}!{text(rng.randint(90, 260))}<{common}>{text(rng.randint(90, 260))}") for i in range(600)]
+        assert found(docs_of(rows)) == brute(rows)
+        assert found(docs_of(rows), max_contents=50) == brute(rows)
+
+
+def test_repeated_rows_stay_linear(docs_of, awkward):
+    """Equal rows and null ids with one text give one row of spans."""
+    rows = [(1, awkward[-1][1])] * 5000 + [(None, awkward[-2][1])] * 5000 + [(3, awkward[8][1])]
+    spans = suffix.repeated_spans(docs_of(rows)).collect()
+    assert len(spans) == 2 and max(len(r.spans) for r in spans) < 300
+    got = found(docs_of(rows))
+    few = brute([rows[0], rows[0], rows[5000], rows[5000], rows[-1]])
+    assert len(got) == 10_001 and sorted(set(got), key=str) == sorted(set(few), key=str)
+
+
 def test_long_text_in_pieces(docs_of, awkward, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 700)
     b = np.frombuffer(awkward[8][1].encode() * 2, np.uint8)
