@@ -55,6 +55,8 @@ NULL_ID, WIDE = 1, 2
 _HEAD, _TAIL = 14, 2
 BLOCKS = ("part int, place int, file string, first long, records long, lo long, hi long, ids long")
 _KEPT_PIECES = 1 << 20
+#: bytes of texts encoded at once, so that pieces are looked up once for many uses
+CHUNK_BYTES = 8 << 20
 _LETTER, _DIGIT, _MARK, _SPACE = 1, 2, 3, 4
 _CLASS = np.zeros(256, np.uint8)               # 0: what the rules leave alone
 _CLASS[0x21:0x7F] = _MARK
@@ -250,7 +252,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
         enc, shard, block = _encoder(tokenizer, specials_are_text), None, None
         for batch in batches:
             key = batch.column(0)
-            for lo, hi, raw, off in tx.text_chunks(batch, "t", 1 << 20):
+            for lo, hi, raw, off in tx.text_chunks(batch, "t", CHUNK_BYTES):
                 ids, count = enc.ids(raw, off)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(count), end_id).astype(np.uint32)
