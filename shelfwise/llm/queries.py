@@ -136,14 +136,26 @@ targets AS (
   SELECT source, source_size, least(CAST(most AS DOUBLE), w * (SELECT level FROM fixed)) AS target
   FROM weighed),
 rated AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, d.source, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT)
-           / 4503599627370496.0::DOUBLE AS draw
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+           / 4503599627370496.0::DOUBLE AS draw,
+         CAST(('0x' || substr(md5('mix:' || coalesce(d.source, 'null')), 1, 13)) AS BIGINT)
+           / 4503599627370496.0::DOUBLE AS first
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, draw) - 1 AS k FROM rated),
+classed AS (
+  SELECT *, min(k) OVER (PARTITION BY source, size) AS low, count(*) OVER (PARTITION BY source, size) AS n
+  FROM ordered),
+counted AS (
+  SELECT *, floor((low + n) * (rate - floor(rate)) + first) - floor(low * (rate - floor(rate)) + first) AS copied
+  FROM classed),
+limited AS (
+  SELECT *, max(CASE WHEN k - low < copied THEN draw END) OVER (PARTITION BY source, size) AS most FROM counted)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rated
+       CAST(size * (floor(rate) + CASE WHEN draw <= most THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM limited
 """
 
 

@@ -168,11 +168,29 @@ def test_mixing(docs_of):
     assert sum(t for _, t in per) <= total + 1e-6
     assert sorted(map(str, p)) == sorted(map(str, mixing.plan(docs.repartition(7)).select(
         "id", "size", "source_size", "target", "copies").collect()))
+    for size, target in per:
+        mine = [r for r in p if (r.source_size, r.target) == (size, target)]
+        assert abs(sum(r.size * r.copies for r in mine) - target) <= max(r.size for r in mine)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in p)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weights", [(5, 2, 1), (1, 1, 1), (7, 3)])
+def test_sources_come_near_their_targets(docs_of, weights):
+    """Sizes of a long tail: every source within its longest document of its target."""
+    import random
+    rng = random.Random(9)
+    rows = [(i, "w " * int(rng.paretovariate(0.8)), None, f"s{i % 5}") for i in range(1500)]
+    rows = [r if len(r[1]) < 40_000 else (r[0], "w " * 20_000, *r[2:]) for r in rows]
+    p = mixing.plan(docs_of(rows), weights=weights).select("row.source", "size", "target", "copies", "source_size").collect()
+    for s in {r.source for r in p}:
+        mine = [r for r in p if r.source == s]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= max(r.size for r in mine)
+        rate = mine[0].target / mine[0].source_size
+        assert {r.copies for r in mine} <= {int(rate), int(rate) + 1}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
