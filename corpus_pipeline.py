@@ -3,7 +3,7 @@
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all rows its
 predecessor kept; ``run`` writes every stage's result as Parquet into the
 shared checkpoint folder and rereads it for the next, so a lost executor costs
-at most the running stage.  Null texts do not pass language ID; later stages
+at most the running stage; a stage's result is deleted once its successor is written.  Null texts do not pass language ID; later stages
 treat null as empty, keep extra columns and their order, and give an empty
 result for an empty table.
 """
@@ -59,9 +59,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:          # its successor is written, so nothing reads it again
+            _delete(spark, before)
+        before = out
     return docs
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
