@@ -10,12 +10,17 @@ the last date is a scalar subquery.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -259,3 +264,104 @@ def seasonal_forecast(series: DataFrame, keys, last_date, horizon: int = 30) ->
     return g.select(*keys, "date",
                     F.greatest(F.lit(0.0), trend * idx_m * idx_d).alias("forecast"),
                     trend.alias("trend"), idx_m.alias("month_index"), idx_d.alias("weekday_index"))
+
+
+# -- B15 with yearly and weekly Fourier terms ----------------------------------------
+
+YEAR_DAYS, WEEK_DAYS = 365.25, 7.0
+YEARLY_TERMS, WEEKLY_TERMS = 10, 3       # fixed values: sine and cosine pairs of each season
+_EPOCH = "1970-01-01"
+
+
+def fourier_terms(day: Column, yearly: int = YEARLY_TERMS, weekly: int = WEEKLY_TERMS) -> Column:
+    """``sin, cos`` of each multiple of the yearly and the weekly frequency as an array."""
+    t = F.datediff(day, F.lit(_EPOCH).cast("date")).cast("double")
+    angles = [t * (2 * math.pi * n / YEAR_DAYS) for n in range(1, yearly + 1)]
+    angles += [t * (2 * math.pi * n / WEEK_DAYS) for n in range(1, weekly + 1)]
+    return F.array(*[f(a) for a in angles for f in (F.sin, F.cos)])
+
+
+def _season_solver(keys: list[str], size: int, ridge: float):
+    """Rows ``(keys, g, r, x)`` of one series after the other (never split over
+    partitions) to one row ``(keys, beta)`` each: the normal equations
+    ``sum g² x x' + ridge · mean(g²) · I`` and ``sum g x r`` are summed over the batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, gram, rhs, n, g2 = None, np.zeros((size, size)), np.zeros(size), 0, 0.0
+
+        def solved(key: pa.RecordBatch, a, b, m, s) -> pa.RecordBatch:
+            weight = np.where(s > 0, ridge * s / m, 1.0)       # a series of zeros has no seasons
+            beta = np.linalg.solve(a + weight[:, None, None] * np.eye(size), b[:, :, None])[:, :, 0]
+            return pa.RecordBatch.from_arrays(
+                [*key.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * size, pa.int32()),
+                                                        pa.array(beta.ravel()))], names=[*keys, "beta"])
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                key = batch.select(keys)
+                rows = list(zip(*[c.to_pylist() for c in key.columns], strict=True))
+                new = np.array([open_ is None or rows[0] != open_[0]] + [a != b for a, b in zip(rows, rows[1:])])
+                head = np.flatnonzero(np.concatenate(([True], new[1:])))
+                g, r = batch["g"].to_numpy(), batch["r"].to_numpy()
+                x = batch["x"].flatten().to_numpy().reshape(-1, size) * g[:, None]
+                edge = np.append(head, len(g))
+                a = np.stack([x[i:j].T @ x[i:j] for i, j in zip(edge[:-1], edge[1:])])
+                b = np.add.reduceat(x * r[:, None], head, axis=0)
+                m = np.diff(edge).astype(float)
+                s = np.add.reduceat(g * g, head)
+                if not new[0]:                      # the first rows go on with the open series
+                    a[0] += gram
+                    b[0] += rhs
+                    m[0] += n
+                    s[0] += g2
+                elif open_ is not None:
+                    yield solved(open_[1], gram[None], rhs[None], np.array([n]), np.array([g2]))
+                if len(head) > 1:
+                    yield solved(key.take(pa.array(head[:-1])), a[:-1], b[:-1], m[:-1], s[:-1])
+                open_ = (rows[-1], key.slice(len(rows) - 1, 1))
+                gram, rhs, n, g2 = a[-1], b[-1], m[-1], s[-1]
+        if open_ is not None:
+            yield solved(open_[1], gram[None], rhs[None], np.array([n]), np.array([g2]))
+
+    return run
+
+
+def fit_seasons(series: DataFrame, keys: Sequence[str], yearly: int = YEARLY_TERMS,
+                weekly: int = WEEKLY_TERMS, ridge: float = 1.0) -> DataFrame:
+    """One row per series: ``slope, intercept, beta``, the least-squares fit of
+    ``quantity = g(t) · (1 + x(t) · beta)`` with the linear trend ``g`` of the series and
+    yearly and weekly Fourier terms ``x``.  The ridge weighs as ``ridge`` days of an average
+    level, so short series keep seasons near zero; one of a single day has a flat trend.
+    A series is one row a day, bounded by the calendar; null dates and units are left out."""
+    keys = list(keys)
+    t = F.datediff("date", F.lit(_EPOCH).cast("date")).cast("double")
+    d = series.filter(F.col("date").isNotNull() & F.col("quantity").isNotNull()).groupBy(*keys, "date").agg(
+        F.sum(F.col("quantity").cast("double")).alias("q")).withColumn("t", t)
+    trend = d.groupBy(*keys).agg(
+        F.coalesce(F.regr_slope("q", "t"), F.lit(0.0)).alias("slope"),
+        F.coalesce(F.regr_intercept("q", "t"), F.avg("q")).alias("intercept"))
+    size = 2 * (yearly + weekly)
+    g = F.col("intercept") + F.col("slope") * F.col("t")
+    def joined(rows: DataFrame, found: DataFrame) -> DataFrame:     # null keys are series, too
+        named = found.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+        return rows.join(named, on).drop(*[f"_of_{k}" for k in keys])
+
+    rows = joined(d, trend).select(*keys, "date", g.alias("g"), (F.col("q") - g).alias("r"),
+                                   fourier_terms(F.col("date"), yearly, weekly).alias("x"))
+    kinds = ", ".join(f"`{k}` {kind}" for k, kind in d.select(*keys).dtypes)
+    beta = (rows.repartition(*keys).sortWithinPartitions(*keys, "date").select(*keys, "g", "r", "x")
+            .mapInArrow(_season_solver(keys, size, ridge), f"{kinds}, beta array<double>"))
+    return joined(trend, beta).select(*keys, "slope", "intercept", "beta")
+
+
+def fourier_forecast(seasons: DataFrame, keys: Sequence[str], last_date: Column, horizon: int = 30,
+                     yearly: int = YEARLY_TERMS, weekly: int = WEEKLY_TERMS) -> DataFrame:
+    """The next ``horizon`` days of every fitted series, floored at 0."""
+    days = F.sequence(F.date_add(last_date, 1), F.date_add(last_date, horizon))
+    d = seasons.withColumn("date", F.explode(days)).withColumn("_x", fourier_terms(F.col("date"), yearly, weekly))
+    t = F.datediff("date", F.lit(_EPOCH).cast("date")).cast("double")
+    trend = F.col("intercept") + F.col("slope") * t
+    season = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return d.select(*keys, "date", F.greatest(F.lit(0.0), trend * (1 + season)).alias("forecast"),
+                    trend.alias("trend"), season.alias("season"))

@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -137,22 +137,28 @@ def encode_category(df: DataFrame, col: str = "category") -> tuple[DataFrame, ob
     return model.transform(d), model
 
 
+def split_draw(id_col: str, seed: int = 42) -> Column:
+    """A draw in [0, 1) per id: the first 52 bits of the MD5 of ``seed:id``."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """deterministic stratified split.
 
-    Each row gets a 64-bit hash of its id; within every label value the rows
-    whose hash lies at or below that label's exact (1 − test) quantile go to
-    training.  Quantiles come from the distributed two-level histogram, so no
-    label group is ever gathered into one task.
+    Each row draws by its id; within every label value the rows whose draw lies
+    at or below that label's exact (1 − test) quantile go to training.  Quantiles come
+    from the distributed two-level histogram, so no label group is ever gathered into one
+    task, and the cut-offs (one per label value) are one scalar map read in each row,
+    so nothing is joined on the label.
     """
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).cast("double")
-    d = df.withColumn("_h", h)
-    q = exact_quantiles(d, "_h", [1 - test_fraction], by=[label]).select(
-        label, F.col("value").alias("_cut"))
-    return (d.join(q, label, "left")
-             .withColumn("split", F.when(F.col("_h") <= F.col("_cut"), "train").otherwise("test"))
-             .drop("_h", "_cut"))
+    key = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    d = df.withColumn("_h", split_draw(id_col, seed))
+    cuts = exact_quantiles(d.select(key.alias("_label"), "_h"), "_h", [1 - test_fraction], by=["_label"]).agg(
+        F.map_from_entries(F.collect_list(F.struct("_label", "value")))).scalar()
+    return (d.withColumn("split", F.when(F.col("_h") <= F.element_at(cuts, key), "train").otherwise("test"))
+             .drop("_h"))
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shelfwise.operators import customers as C
 from shelfwise.plans.catalog import finish, query
 from shelfwise.sources.adapter import RetailTables
@@ -160,6 +162,24 @@ def churn_model(spark, sf_dir):
 
 @query("hazard_model")
 def hazard_model(spark, sf_dir):
-    """Weibull AFT time-to-churn predictions for every customer."""
+    """Cox proportional hazards of time to churn, every customer scored."""
     _, out = C.hazard_model(_metrics(spark, sf_dir))
     return finish(out)
+
+
+@query("fitted_customer_value")
+def fitted_customer_value(spark, sf_dir):
+    """Churn model fitted, stored and loaded again; value, risk and campaign impact of
+    every customer by its probabilities."""
+    from shelfwise import modelstore as S
+    from shelfwise.sources.readers import scratch_path
+    m = _metrics(spark, sf_dir)
+    model, _ = C.train_churn_model(m)
+    store = scratch_path(spark, "churn-model")
+    S.save(spark, store, model, [*C.CHURN_FEATURES, "segment"])
+    model = S.load(spark, store, "pipeline", [*C.CHURN_FEATURES, "segment"], columns=m.columns)
+    scored = C.score_churn(model, C.clv_components(m))
+    risk = C.at_risk_customers(scored).select("customer_id", F.lit(1).alias("at_risk"))
+    impact = C.intervention_impact(scored).select("customer_id", "new_clv", "impact", "impact_pct")
+    out = C.customer_value(scored).join(impact, "customer_id").join(risk, "customer_id", "left")
+    return finish(out.fillna(0, ["at_risk"]))

@@ -235,6 +235,15 @@ def seasonal_forecast(spark, sf_dir):
     return finish(D.seasonal_forecast(series, ["category", "store_id"], last, 30))
 
 
+@query("fourier_forecast")
+def fourier_forecast(spark, sf_dir):
+    """Every product-store series: trend times yearly and weekly Fourier seasons."""
+    f = _features(spark, sf_dir)
+    keys = ["product_id", "store_id"]
+    last = f.agg(F.max("date")).scalar()
+    return finish(D.fourier_forecast(D.fit_seasons(f, keys), keys, last))
+
+
 # -- fitted forest: rows-only checks ------------------------------------------
 
 @query("train_demand")

@@ -151,7 +151,15 @@ def return_reason_share(spark, sf_dir):
     return finish(RT.return_reason_share(_ret_features(spark, sf_dir)))
 
 
-@query("stratified_split")
+@query("stratified_split", sql=RET_SQL + """
+, drawn AS (
+  SELECT transaction_id, is_returned,
+         CAST(('0x' || substr(md5('42:' || CAST(transaction_id AS VARCHAR)), 1, 13)) AS BIGINT)
+           / 4503599627370496.0::DOUBLE AS h
+  FROM rfeat
+), cuts AS (SELECT is_returned, quantile_cont(h, 0.8) AS c FROM drawn GROUP BY 1)
+SELECT transaction_id, is_returned, CASE WHEN h <= c THEN 'train' ELSE 'test' END AS split
+FROM drawn JOIN cuts USING (is_returned)""")
 def stratified_split(spark, sf_dir):
     f = _ret_features(spark, sf_dir)
     return RT.stratified_split(f, "is_returned", "transaction_id").select(
@@ -368,3 +376,21 @@ def isolation_forest(spark, sf_dir):
     out = IF.isolation_forest(f, G.ANOMALY_FEATURES, "transaction_id")
     return finish(out.select("transaction_id", "iso_score", "decision", "anomaly_score",
                              "is_anomaly"))
+
+
+@query("fitted_fraud_scores")
+def fitted_fraud_scores(spark, sf_dir):
+    """Classifier and isolation forest fitted, stored, loaded again and blended."""
+    from shelfwise import modelstore as S
+    from shelfwise.operators import isoforest as IF
+    from shelfwise.sources.readers import scratch_path
+    f = _fraud_features(spark, sf_dir)
+    store = scratch_path(spark, "fraud-models")
+    classifier, _ = G.train_fraud_classifier(f, "is_fraud")
+    S.save(spark, f"{store}/classifier", classifier, G.CLASSIFIER_FEATURES)
+    S.save(spark, f"{store}/forest", IF.train_isolation_forest(f, G.ANOMALY_FEATURES, "transaction_id"))
+    out = G.score_fitted_fraud(
+        S.load(spark, f"{store}/classifier", "pipeline", G.CLASSIFIER_FEATURES, columns=f.columns),
+        S.load(spark, f"{store}/forest", "forest", G.ANOMALY_FEATURES, columns=f.columns), f)
+    return finish(out.select("transaction_id", "is_fraud", "fraud_probability", "anomaly_score",
+                             "fraud_risk_score", "is_fraud_predicted", "fraud_risk_level"))

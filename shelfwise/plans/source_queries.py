@@ -11,20 +11,29 @@ from shelfwise.plans.catalog import finish, query
 from shelfwise.sources import readers as R
 from shelfwise.sources.adapter import RetailTables
 
-TX_COLS = ["transaction_id", "date", "customer_id", "product_id", "store_id", "channel",
-           "quantity", "unit_price", "total_amount", "category", "discount_applied"]
+TABLES = ["products", "customers", "transactions", "returns", "inventory"]
+_MONEY = ["price", "unit_price", "total_amount", "discount_applied", "amount_returned"]
 
 
-@query("read_tables", sql="SELECT " + ", ".join(TX_COLS) + " FROM transactions",
-       rounded=["unit_price", "total_amount", "discount_applied"])
-def read_tables(spark, sf_dir):
-    """Round trip: write the transactions as month-partitioned CSV to the shared
-    scratch folder, read them back with the declared schema."""
+def _tables(spark, sf_dir):
     rt = RetailTables.of(spark, sf_dir)
+    return {n: getattr(rt, n) for n in TABLES}
+
+
+def _columns(n):
+    return R.SCHEMAS[n].fieldNames()
+
+
+@query("read_tables", sql="\nUNION ALL BY NAME\n".join(
+    f"SELECT '{n}' AS table_name, {', '.join(_columns(n))} FROM {n}" for n in TABLES), rounded=_MONEY)
+def read_tables(spark, sf_dir):
+    """Round trip: write all tables as CSV (facts by month) to the shared scratch
+    folder, read them back through the quarantine, and stack the rows that passed."""
     path = R.scratch_path(spark, "tables-csv")
-    R.write_tables({"transactions": rt.transactions}, path, fmt="csv")
-    back = R.read_tables(spark, path, fmt="csv", names=("transactions",))["transactions"]
-    return finish(back.select(*TX_COLS))
+    R.write_tables({n: df.select(*_columns(n)) for n, df in _tables(spark, sf_dir).items()}, path, fmt="csv")
+    back, _ = R.read_tables_checked(spark, path, fmt="csv", names=TABLES)
+    named = [df.select(F.lit(n).alias("table_name"), "*") for n, df in back.items()]
+    return finish(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named))
 
 
 @query("write_tables", sql="""
@@ -56,7 +65,7 @@ NORM_SQL = """
          "Quantity" * "UnitPrice" AS total_amount, 'General' AS category,
          'Online' AS store_id, 'Online' AS channel
   FROM invoices
-  WHERE NOT starts_with("InvoiceNo", 'C') AND "Quantity" > 0
+  WHERE NOT coalesce(starts_with("InvoiceNo", 'C'), false) AND "Quantity" > 0
 )
 """
 
@@ -113,21 +122,24 @@ def latest_stock(spark, sf_dir):
     return P.latest_stock(RetailTables.of(spark, sf_dir).inventory)
 
 
-_PROFILE_COLS = ["customer_id", "product_id", "quantity", "unit_price", "total_amount",
-                 "discount_applied"]
+def _numeric(n):
+    return [f.name for f in R.SCHEMAS[n].fields if isinstance(f.dataType, P._NUMERIC)]
 
 
 def _profile_sql():
     parts = []
-    for c in _PROFILE_COLS:
-        x = f"CAST({c} AS DOUBLE)"
-        parts.append(f"""SELECT '{c}' AS "column", count(*) AS n_rows, count({x}) AS "count",
-               avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS "min", max({x}) AS "max"
-        FROM transactions""")
+    for n in TABLES:
+        for c in _numeric(n):
+            x = f"CAST({c} AS DOUBLE)"
+            parts.append(f"""SELECT '{n}' AS table_name, '{c}' AS "column", count(*) AS n_rows, count({x}) AS "count",
+               avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS "min", max({x}) AS "max",
+               quantile_cont({x}, 0.25) AS p25, quantile_cont({x}, 0.5) AS p50, quantile_cont({x}, 0.75) AS p75
+        FROM {n}""")
     return "\nUNION ALL\n".join(parts)
 
 
-@query("preview_profile", sql=_profile_sql(), rounded=["mean", "std", '"min"', '"max"'])
+@query("preview_profile", sql=_profile_sql(),
+       rounded=["mean", "std", '"min"', '"max"', "p25", "p50", "p75"])
 def preview_profile(spark, sf_dir):
-    tx = RetailTables.of(spark, sf_dir).transactions.select(*_PROFILE_COLS)
-    return finish(P.profile(tx))
+    """Every numeric column of the five tables, with exact quartiles."""
+    return finish(P.profile_tables({n: df.select(*_numeric(n)) for n, df in _tables(spark, sf_dir).items()}))

@@ -127,6 +127,15 @@ def allocate_orders(spark, sf_dir):
     return finish(_alloc(spark, sf_dir))
 
 
+@query("allocate_with_stock")
+def allocate_with_stock(spark, sf_dir):
+    """All orders against the stock of each store and 1,000 units a store."""
+    rt = _rt(spark, sf_dir)
+    stock = P.latest_stock(rt.inventory, per_store=True)
+    return finish(H.allocate_with_stock(rt.fulfilment_orders, stock, H.cost_table(spark),
+                                        max_capacity_per_store=1000))
+
+
 @query("fulfilment_metrics", sql=FUL_SQL + """
 SELECT count(*) AS total_orders, sum(cost) AS total_cost, avg(cost) AS avg_cost_per_order,
        avg(delivery_time_days) AS avg_delivery_time,

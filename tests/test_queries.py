@@ -23,7 +23,7 @@ def test_entry_smoke(spark):
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
-    assert len(QUERIES) == 98
+    assert len(QUERIES) == 102
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
