@@ -12,7 +12,6 @@ from shelfwise.sources import readers as R
 from shelfwise.sources.adapter import RetailTables
 
 TABLES = ["products", "customers", "transactions", "returns", "inventory"]
-_MONEY = ["price", "unit_price", "total_amount", "discount_applied", "amount_returned"]
 
 
 def _tables(spark, sf_dir):
@@ -24,16 +23,15 @@ def _columns(n):
     return R.SCHEMAS[n].fieldNames()
 
 
-@query("read_tables", sql="\nUNION ALL BY NAME\n".join(
-    f"SELECT '{n}' AS table_name, {', '.join(_columns(n))} FROM {n}" for n in TABLES), rounded=_MONEY)
+@query("read_tables", sql="SELECT " + ", ".join(_columns("transactions")) + " FROM transactions",
+       rounded=["unit_price", "total_amount", "discount_applied"])
 def read_tables(spark, sf_dir):
-    """Round trip: write all tables as CSV (facts by month) to the shared scratch
-    folder, read them back through the quarantine, and stack the rows that passed."""
-    path = R.scratch_path(spark, "tables-csv")
-    R.write_tables({n: df.select(*_columns(n)) for n, df in _tables(spark, sf_dir).items()}, path, fmt="csv")
-    back, _ = R.read_tables_checked(spark, path, fmt="csv", names=TABLES)
-    named = [df.select(F.lit(n).alias("table_name"), "*") for n, df in back.items()]
-    return finish(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named))
+    """Round trip: write the transactions as month-partitioned CSV to the shared
+    scratch folder, read them back through the quarantine."""
+    path, cols = R.scratch_path(spark, "tables-csv"), _columns("transactions")
+    R.write_tables({"transactions": RetailTables.of(spark, sf_dir).transactions.select(*cols)}, path, fmt="csv")
+    back, _ = R.read_tables_checked(spark, path, fmt="csv", names=("transactions",))
+    return finish(back["transactions"].select(*cols))
 
 
 @query("write_tables", sql="""
