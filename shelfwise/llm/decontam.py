@@ -192,7 +192,7 @@ def _matches(batch: pa.RecordBatch, ix: ItemIndex, similarity: float
 
 def _scan(docs: DataFrame, index, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             found = list(_matches(batch, index.value, similarity))
             rows, items, at, sims, dist = zip(*found, strict=True) if found else ((),) * 5
             pick = pa.array(rows, pa.int64())
@@ -244,6 +244,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
             batch = pa.RecordBatch.from_arrays([t], names=["t"])
             out = np.ones(len(t), bool)
             out[[m[0] for m in _matches(batch, index.value, similarity)]] = False
+            tx.release()
             return pa.array(out)
         return no_match
 

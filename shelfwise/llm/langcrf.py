@@ -244,7 +244,7 @@ def _sample(docs: DataFrame, docs_per_lang: int, segments: int, segment_words: i
            .filter(F.col("n") <= docs_per_lang).select("id", "lang").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             out = []
             for lo, hi, raw, off in tx.text_chunks(batch, "t"):
                 w = units(raw, off)
@@ -385,7 +385,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                     F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             pred, score, n_words, _ = _label(batch, shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_words), pa.array(pred, pa.string()),
@@ -417,6 +417,7 @@ def drop_unidentified(docs: DataFrame, min_score: float = 0.5, id_col: str = "do
     @F.arrow_udf("boolean")
     def identified(t: pa.Array) -> pa.Array:
         pred, _, _, sure = _label(pa.RecordBatch.from_arrays([t], names=["t"]), shared.value)
+        tx.release()
         return pa.array((np.array(pred, object) != UNKNOWN) & (sure >= min_score), pa.bool_())
 
     return docs.filter(identified(F.col(text_col).cast("string")))

@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id",
     """One row ``(id, text_hash, fp)`` per input row; ``fp`` is the 64-bit
     fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             parts = [_fingerprints(raw, off, shingle)
                      for _, _, raw, off in tx.text_chunks(batch, "t")]
             if parts:
@@ -223,7 +223,7 @@ def near_links(fps: DataFrame, max_bits: int = 4, max_shard: int = 4096) -> Data
 
         held: list[pa.RecordBatch] = []
         n_held = 0
-        for batch in batches:
+        for batch in tx.released(batches):
             held.append(batch)
             n_held += batch.num_rows
             if n_held >= 1 << 16:

@@ -90,7 +90,7 @@ def blocks(docs: DataFrame, length: int) -> DataFrame:
     """``(th, tg, pos, n_win, at, a, c)``: the blocks of every text; ``a`` hashes
     the anchor, ``c`` the block's bytes, ``at`` is the anchor's offset."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             th, tg = batch.column(0), batch.column(1)
             for lo, _, raw, off in tx.text_chunks(batch, "t"):
                 pieces = [(0, raw, off)]
@@ -259,7 +259,7 @@ def _sort_anchors(units: DataFrame, length: int, max_bytes: int = 1 << 20) -> Da
     anchor's blocks sorted in one task (their number is bounded by the caller)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in tx.released(batches):
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 held.append(part)
@@ -296,13 +296,13 @@ def _count_windows(units: DataFrame, length: int, max_sent: int = MAX_SENT) -> D
     units = units.select("a", "c", "n_win", "n", "bytes")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             for lo in range(0, batch.num_rows, 1000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_windows(batch.slice(lo, 1000), length)[2], pa.binary())], names=["h"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 unit, w, h = _windows(part, length)
@@ -320,7 +320,7 @@ def _count_windows(units: DataFrame, length: int, max_sent: int = MAX_SENT) -> D
     sent = units.sparkSession.sparkContext.broadcast(frozenset(bytes(r.h) for r in twice.collect()))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 unit, w, h = _windows(part, length)
@@ -340,7 +340,7 @@ def _take_bytes(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     fields = ("a", "c", "n_win", "at", "contents", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             for lo, hi, raw, off in tx.text_chunks(batch, "t"):
                 want = batch.column(1).slice(lo, hi - lo)
                 flat = want.flatten()
@@ -422,7 +422,7 @@ def removal_digest(docs: DataFrame, length: int = 200, max_contents: int = 4096,
     j = d.join(spans, ["th", "tg"], "left").select("id", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             n, gone, runs, sha = [], [], [], []
             for t, s in zip(batch.column(1), batch.column(2), strict=True):
                 text = (t.as_py() or "").encode()
@@ -452,9 +452,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, max_contents: int = 4096,
 
     @F.arrow_udf("string")
     def left(t: pa.Array, s: pa.Array) -> pa.Array:
-        return pa.array([None if not y.is_valid else _cut_out(
+        out = pa.array([None if not y.is_valid else _cut_out(
             (x.as_py() or "").encode(), y.as_py())[0].decode("utf-8", "ignore")
             for x, y in zip(t, s, strict=True)], pa.string())
+        tx.release()
+        return out
 
     text = F.col(f"row.`{text_col}`").cast("string")
     touched = F.col("spans").isNotNull()

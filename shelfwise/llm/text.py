@@ -10,6 +10,7 @@ Null texts count as empty everywhere in this module.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +47,26 @@ WORD_CHARS = ~byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 WORD_CHARS_RAW = WORD_CHARS | byte_set((0x41, 0x5A))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc only
+
+
+def release() -> None:
+    """Give the memory that finished work has freed back to the system.  Python
+    workers live on from stage to stage, and what they hold counts as the
+    executor's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory is released after each of them."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 def text_chunks(batch: pa.RecordBatch, col: str, max_bytes: int = CHUNK_BYTES
                 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of whole rows of at most ``max_bytes`` (one row at
