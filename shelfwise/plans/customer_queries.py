@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfwise.functions.stats import _materialise
 from shelfwise.operators import customers as C
 from shelfwise.plans.catalog import finish, query
 from shelfwise.sources.adapter import RetailTables
@@ -48,6 +49,11 @@ def _metrics(spark, sf_dir):
     return C.customer_metrics(rt.transactions, rt.customers)
 
 
+def _stored_metrics(spark, sf_dir):
+    """The metrics written once, for queries that read them many times."""
+    return _materialise(_metrics(spark, sf_dir))
+
+
 def _scored(spark, sf_dir):
     clv = C.clv_components(_metrics(spark, sf_dir))
     return clv.withColumn("churn_probability", RetailTables.fixed_score("customer_id"))
@@ -156,14 +162,14 @@ def kaplan_meier(spark, sf_dir):
 @query("churn_model")
 def churn_model(spark, sf_dir):
     """Held-out customers scored by the churn classifier."""
-    _, test = C.train_churn_model(_metrics(spark, sf_dir))
+    _, test = C.train_churn_model(_stored_metrics(spark, sf_dir))
     return finish(test.select("customer_id", "recency", "churn_probability"))
 
 
 @query("hazard_model")
 def hazard_model(spark, sf_dir):
     """Cox proportional hazards of time to churn, every customer scored."""
-    _, out = C.hazard_model(_metrics(spark, sf_dir))
+    _, out = C.hazard_model(_stored_metrics(spark, sf_dir))
     return finish(out)
 
 
@@ -173,7 +179,7 @@ def fitted_customer_value(spark, sf_dir):
     every customer by its probabilities."""
     from shelfwise import modelstore as S
     from shelfwise.sources.readers import scratch_path
-    m = _metrics(spark, sf_dir)
+    m = _stored_metrics(spark, sf_dir)
     model, _ = C.train_churn_model(m)
     store = scratch_path(spark, "churn-model")
     S.save(spark, store, model, [*C.CHURN_FEATURES, "segment"])
