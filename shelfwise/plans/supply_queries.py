@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from shelfwise.functions.stats import _materialise
 from shelfwise.operators import fulfilment as H
 from shelfwise.operators import merchandising as M
 from shelfwise.operators import metrics as J
@@ -258,7 +259,7 @@ def forecast_risk(spark, sf_dir):
 @query("trend_model")
 def trend_model(spark, sf_dir):
     """In-sample fit of the monthly trend forest."""
-    f = M.monthly_features(_monthly(spark, sf_dir))
+    f = _materialise(M.monthly_features(_monthly(spark, sf_dir)))    # one row a category and month
     model = M.train_trend_model(f)
     return finish(model.transform(f.fillna(0)).select(
         "category", "year_month", "quantity", F.col("_pred").alias("prediction")))
@@ -267,7 +268,7 @@ def trend_model(spark, sf_dir):
 @query("buying_horizon")
 def buying_horizon(spark, sf_dir):
     """Recursive 6-month forecast per category with Monte Carlo scenarios."""
-    f = M.monthly_features(_monthly(spark, sf_dir))
+    f = _materialise(M.monthly_features(_monthly(spark, sf_dir)))    # one row a category and month
     model = M.train_trend_model(f)
     base = M.buying_horizon(model, f, 6)
     return finish(M.forecast_risk(M.scenarios(base)))
