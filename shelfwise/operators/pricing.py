@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfwise.functions.exprs import band
+from shelfwise.functions.stats import _materialise
 
 # Fixed values of the markdown model:
 DISCOUNT_EDGES = [-0.01, 0.01, 0.15, 0.30, 0.50, 1.0]
@@ -192,9 +193,10 @@ def train_demand_price(frame: DataFrame, params: BoostParams = BoostParams(),
                        train_fraction: float = 0.8) -> tuple[PipelineModel, DataFrame]:
     """C4: boosted trees of units on ln(price+1), discount and category / month
     dummies (first level dropped); deterministic 80/20 split by id hash.
+    The frame is written once, as a fit reads it many times.
     Returns the model and the held-out scored rows."""
     h = (F.abs(F.xxhash64("transaction_id", F.lit(params.seed))) % 1000) / 1000.0
-    f = frame.fillna(0, ["discount_pct", "log_price"]).withColumn("_u", h)
+    f = _materialise(frame.fillna(0, ["discount_pct", "log_price"]).withColumn("_u", h))
     train, test = f.filter(F.col("_u") < train_fraction), f.filter(F.col("_u") >= train_fraction)
     pipe = Pipeline(stages=[
         StringIndexer(inputCols=["category", "month"], outputCols=["_ci", "_mi"],
