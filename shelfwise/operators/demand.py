@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -282,46 +281,52 @@ def fourier_terms(day: Column, yearly: int = YEARLY_TERMS, weekly: int = WEEKLY_
 
 
 def _season_solver(keys: list[str], size: int, ridge: float):
-    """Rows ``(keys, g, r, x)`` of one series after the other (never split over
-    partitions) to one row ``(keys, beta)`` each: the normal equations
-    ``sum g² x x' + ridge · mean(g²) · I`` and ``sum g x r`` are summed over the batches."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, gram, rhs, n, g2 = None, np.zeros((size, size)), np.zeros(size), 0, 0.0
-
-        def solved(key: pa.RecordBatch, a, b, m, s) -> pa.RecordBatch:
-            weight = np.where(s > 0, ridge * s / m, 1.0)       # a series of zeros has no seasons
-            beta = np.linalg.solve(a + weight[:, None, None] * np.eye(size), b[:, :, None])[:, :, 0]
-            return pa.RecordBatch.from_arrays(
-                [*key.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * size, pa.int32()),
-                                                        pa.array(beta.ravel()))], names=[*keys, "beta"])
+    """Rows ``(keys, slope, intercept, g, r, x)`` of one series after the other (never split
+    over partitions) to one row ``(keys, slope, intercept, beta)`` each, the solution of
+    ``(X' X + ridge · mean(g²) · I) beta = X' r`` with the rows ``g x`` of ``X``.  Series of equal
+    length are solved together; shorter ones than ``size`` by the equal
+    ``beta = X' (X X' + ridge · mean(g²) · I)⁻¹ r``, a system of their own length."""
+    def solved(batch: pa.RecordBatch, head: np.ndarray) -> pa.RecordBatch:
+        g, r = batch["g"].to_numpy(), batch["r"].to_numpy()
+        x = batch["x"].flatten().to_numpy().reshape(-1, size) * g[:, None]
+        m = np.diff(np.append(head, len(g)))
+        s = np.add.reduceat(g * g, head)
+        weight = np.where(s > 0, ridge * s / m, 1.0)           # a series of zeros has no seasons
+        beta = np.empty((len(head), size))
+        for n in np.unique(m):
+            of = np.flatnonzero(m == n)
+            at = head[of][:, None] + np.arange(n)
+            xs, rs, w = x[at], r[at][:, :, None], weight[of][:, None, None]
+            if n < size:
+                inner = np.linalg.solve(xs @ xs.transpose(0, 2, 1) + w * np.eye(n), rs)
+                beta[of] = (xs.transpose(0, 2, 1) @ inner)[:, :, 0]
+            else:
+                xt = xs.transpose(0, 2, 1)
+                beta[of] = np.linalg.solve(xt @ xs + w * np.eye(size), xt @ rs)[:, :, 0]
+        key = batch.select([*keys, "slope", "intercept"]).take(pa.array(head))
+        return pa.RecordBatch.from_arrays(
+            [*key.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(head) + 1) * size, pa.int32()),
+                                                    pa.array(beta.ravel()))], names=[*key.schema.names, "beta"])
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for c in batch.select(keys).columns:
+            code = c.dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []                        # rows of the last series, one a day
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
-                batch = whole.slice(lo, 4096)
-                key = batch.select(keys)
-                rows = list(zip(*[c.to_pylist() for c in key.columns], strict=True))
-                new = np.array([open_ is None or rows[0] != open_[0]] + [a != b for a, b in zip(rows, rows[1:])])
-                head = np.flatnonzero(np.concatenate(([True], new[1:])))
-                g, r = batch["g"].to_numpy(), batch["r"].to_numpy()
-                x = batch["x"].flatten().to_numpy().reshape(-1, size) * g[:, None]
-                edge = np.append(head, len(g))
-                a = np.stack([x[i:j].T @ x[i:j] for i, j in zip(edge[:-1], edge[1:])])
-                b = np.add.reduceat(x * r[:, None], head, axis=0)
-                m = np.diff(edge).astype(float)
-                s = np.add.reduceat(g * g, head)
-                if not new[0]:                      # the first rows go on with the open series
-                    a[0] += gram
-                    b[0] += rhs
-                    m[0] += n
-                    s[0] += g2
-                elif open_ is not None:
-                    yield solved(open_[1], gram[None], rhs[None], np.array([n]), np.array([g2]))
+                batch = pa.concat_batches([*open_, whole.slice(lo, 4096)])
+                head = starts(batch)
                 if len(head) > 1:
-                    yield solved(key.take(pa.array(head[:-1])), a[:-1], b[:-1], m[:-1], s[:-1])
-                open_ = (rows[-1], key.slice(len(rows) - 1, 1))
-                gram, rhs, n, g2 = a[-1], b[-1], m[-1], s[-1]
-        if open_ is not None:
-            yield solved(open_[1], gram[None], rhs[None], np.array([n]), np.array([g2]))
+                    yield solved(batch.slice(0, head[-1]), head[:-1])
+                open_ = [batch.slice(head[-1])]
+        if open_:
+            yield solved(open_[0], np.array([0]))
 
     return run
 
@@ -332,36 +337,55 @@ def fit_seasons(series: DataFrame, keys: Sequence[str], yearly: int = YEARLY_TER
     ``quantity = g(t) · (1 + x(t) · beta)`` with the linear trend ``g`` of the series and
     yearly and weekly Fourier terms ``x``.  The ridge weighs as ``ridge`` days of an average
     level, so short series keep seasons near zero; one of a single day has a flat trend.
-    A series is one row a day, bounded by the calendar; null dates and units are left out."""
+    A series is one row a day, bounded by the calendar; null dates and units are left out.
+    The days are read once: trend and seasons come from the same partitioning by series, and
+    the terms are formed behind it."""
     keys = list(keys)
     t = F.datediff("date", F.lit(_EPOCH).cast("date")).cast("double")
     d = series.filter(F.col("date").isNotNull() & F.col("quantity").isNotNull()).groupBy(*keys, "date").agg(
         F.sum(F.col("quantity").cast("double")).alias("q")).withColumn("t", t)
-    trend = d.groupBy(*keys).agg(
-        F.coalesce(F.regr_slope("q", "t"), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept("q", "t"), F.avg("q")).alias("intercept"))
+    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({"slope": F.coalesce(F.regr_slope("q", "t").over(w), F.lit(0.0)),
+                       "intercept": F.coalesce(F.regr_intercept("q", "t").over(w), F.avg("q").over(w))})
     size = 2 * (yearly + weekly)
     g = F.col("intercept") + F.col("slope") * F.col("t")
-    def joined(rows: DataFrame, found: DataFrame) -> DataFrame:     # null keys are series, too
-        named = found.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-        on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-        return rows.join(named, on).drop(*[f"_of_{k}" for k in keys])
-
-    rows = joined(d, trend).select(*keys, "date", g.alias("g"), (F.col("q") - g).alias("r"),
-                                   fourier_terms(F.col("date"), yearly, weekly).alias("x"))
+    rows = d.select(*keys, "slope", "intercept", g.alias("g"), (F.col("q") - g).alias("r"),
+                    fourier_terms(F.col("date"), yearly, weekly).alias("x"))
     kinds = ", ".join(f"`{k}` {kind}" for k, kind in d.select(*keys).dtypes)
-    beta = (rows.repartition(*keys).sortWithinPartitions(*keys, "date").select(*keys, "g", "r", "x")
-            .mapInArrow(_season_solver(keys, size, ridge), f"{kinds}, beta array<double>"))
-    return joined(trend, beta).select(*keys, "slope", "intercept", "beta")
+    return rows.mapInArrow(_season_solver(keys, size, ridge),
+                           f"{kinds}, slope double, intercept double, beta array<double>")
 
 
 def fourier_forecast(seasons: DataFrame, keys: Sequence[str], last_date: Column, horizon: int = 30,
                      yearly: int = YEARLY_TERMS, weekly: int = WEEKLY_TERMS) -> DataFrame:
-    """The next ``horizon`` days of every fitted series, floored at 0."""
-    days = F.sequence(F.date_add(last_date, 1), F.date_add(last_date, horizon))
-    d = seasons.withColumn("date", F.explode(days)).withColumn("_x", fourier_terms(F.col("date"), yearly, weekly))
-    t = F.datediff("date", F.lit(_EPOCH).cast("date")).cast("double")
-    trend = F.col("intercept") + F.col("slope") * t
-    season = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return d.select(*keys, "date", F.greatest(F.lit(0.0), trend * (1 + season)).alias("forecast"),
-                    trend.alias("trend"), season.alias("season"))
+    """The next ``horizon`` days of every fitted series, floored at 0.  The days are the
+    same for every series, so their terms are formed once and a batch of series is one
+    matrix product."""
+    keys = list(keys)
+    turns = 2 * math.pi * np.concatenate((np.arange(1, yearly + 1) / YEAR_DAYS, np.arange(1, weekly + 1) / WEEK_DAYS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                t = batch["_last"].to_numpy()[:, None] + np.arange(1, horizon + 1)
+                days, which = np.unique(t, return_inverse=True)
+                angle = days[:, None] * turns
+                x = np.stack((np.sin(angle), np.cos(angle)), 2).reshape(len(days), -1)
+                beta = batch["beta"].flatten().to_numpy().reshape(batch.num_rows, -1)
+                if len(days) == horizon:                    # one last date
+                    season = beta @ x.T
+                else:
+                    season = (x[which.reshape(t.shape)] @ beta[:, :, None])[:, :, 0]
+                trend = batch["intercept"].to_numpy()[:, None] + batch["slope"].to_numpy()[:, None] * t
+                key = batch.select(keys).take(pa.array(np.repeat(np.arange(batch.num_rows), horizon)))
+                yield pa.RecordBatch.from_arrays(
+                    [*key.columns, pa.array(t.ravel().astype(np.int32)).cast(pa.date32()), pa.array(trend.ravel()),
+                     pa.array(season.ravel())], names=[*keys, "date", "trend", "season"])
+
+    last = F.datediff(last_date, F.lit(_EPOCH).cast("date")).cast("double")
+    d = seasons.select(*keys, "slope", "intercept", "beta", last.alias("_last")).filter(F.col("_last").isNotNull())
+    kinds = ", ".join(f"`{k}` {kind}" for k, kind in seasons.select(*keys).dtypes)
+    d = d.mapInArrow(run, f"{kinds}, date date, trend double, season double")
+    return d.select(*keys, "date", F.greatest(F.lit(0.0), F.col("trend") * (1 + F.col("season"))).alias("forecast"),
+                    "trend", "season")
