@@ -40,3 +40,25 @@ def test_seasons_read_the_days_once_and_shuffle_no_terms(spark):
     plan = _plan(D.fit_seasons(days, ["k"]))
     assert "Join" not in plan
     assert "SIN" not in plan[plan.rindex("Exchange"):]
+
+
+def test_quantiles_write_distinct_values(spark, monkeypatch):
+    from shelfwise.functions import stats
+    written, real = [], stats._materialise
+    monkeypatch.setattr(stats, "_materialise", lambda df: written.append(real(df)) or written[-1])
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    got = {(r.g, r.q): r.value for r in stats.exact_quantiles(df, "v", [0.25, 0.5], by=["g"], max_cell_rows=100).collect()}
+    assert written[0].count() == 14
+    assert got == {(g, q): {0.25: 1.0, 0.5: 3.0}[q] for g in (0, 1) for q in (0.25, 0.5)}
+
+
+def test_best_source_sends_a_store_name_once(spark):
+    opts = spark.createDataFrame(
+        [("a", "Warehouse", "warehouse", 6.0, 3, None), ("a", "S2", "store", 8.0, 1, "S2"), ("a", "S1", "store", 8.0, 1, "S1"),
+         ("b", "Depot", "store", 1.0, 1, "S9"), ("c", None, "store", 1.0, 1, None), ("d", None, "store", 1.0, 1, "S3")],
+        "order_id string, source string, type string, cost double, delivery_time_days int, store_id string")
+    best = H.best_source(opts)
+    assert best.columns == [*opts.columns, "score"]
+    assert {(r.order_id, r.source, r.store_id) for r in best.collect()} == {
+        ("a", "S1", "S1"), ("b", "Depot", "S9"), ("c", None, None), ("d", None, "S3")}
+    assert "_same" in _plan(best).split("Exchange", 1)[1]
