@@ -58,62 +58,61 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
 
     Level 1 counts values per equal-width cell of each group; only the cells
     holding a wanted rank are kept.  While such a cell still holds more than
-    ``max_cell_rows`` distinct-range rows, it is re-binned on its own exact
+    ``max_cell_rows`` distinct values, it is re-binned on its own exact
     min / max (each level narrows it by up to ``cells``×), so heavy clusters and
     far outliers cannot force a large group into one task.  The final window
     ranks the distinct values of small cells only.  The few wanted ranks
     (≤ 2 per group and q) are the only thing the loop inspects on the driver.
     """
     by = list(by)
+    # equal values are counted first: all that follows costs the distinct values
     d = _materialise(df.select(*by, F.col(col).cast("double").alias("_x"))
-                     .filter(F.col("_x").isNotNull()))
+                     .filter(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_vn")))
     if by:
-        stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
+        stats = d.groupBy(*by).agg(F.sum("_vn").alias("_n"), F.min("_x").alias("_lo"),
                                    F.max("_x").alias("_hi"))
         d1 = d.join(stats, by)
     else:                                                      # scalar subqueries, no join
-        d1 = d.withColumns({"_n": d.agg(F.count(F.lit(1))).scalar(),
+        d1 = d.withColumns({"_n": d.agg(F.sum("_vn")).scalar(),
                             "_lo": d.agg(F.min("_x")).scalar(),
                             "_hi": d.agg(F.max("_x")).scalar()})
     tk = by + ["q", "_side"]                                   # one wanted rank = one target
+    cell = [F.sum("_vn").alias("_cn"), F.count(F.lit(1)).alias("_cd")]      # rows, distinct values
 
     # level 1 on whole groups (rows are not repeated per target); the wanted
     # ranks floor / ceil of h = (n − 1)·q are generated in-row on each cell
     d1 = d1.withColumn("_c", _cell(F.col("_x"), F.col("_lo"), F.col("_hi"), cells))
-    hist = d1.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_cn"), F.first("_n").alias("_n"))
+    hist = d1.groupBy(*by, "_c").agg(*cell, F.first("_n").alias("_n"))
     wc = (Window.partitionBy(*by) if by else Window).orderBy("_c").rowsBetween(
         Window.unboundedPreceding, -1)                         # ≤ cells rows per group
     hist = hist.withColumn("_before", F.coalesce(F.sum("_cn").over(wc), F.lit(0)))
     want = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("_side"))
                      for q in qs for side in (0, 1)])
     t = hist.withColumn("_w", F.explode(want)).select(
-        *by, "_c", "_cn", "_before", F.col("_w.q").alias("q"), F.col("_w._side").alias("_side"),
+        *by, "_c", "_cn", "_cd", "_before", F.col("_w.q").alias("q"), F.col("_w._side").alias("_side"),
         ((F.col("_n") - 1) * F.col("_w.q")).alias("_h"))
     t = t.withColumn("_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")))
     t = t.filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_cn")))
     picked = _materialise(t.withColumn("_r", (F.col("_r") - F.col("_before")).cast("long"))
                            .drop("_before"))
-    rows = d1.join(picked.select(*by, "_c", "q", "_side"), by + ["_c"]).select(*tk, "_x")
+    rows = d1.join(picked.select(*by, "_c", "q", "_side"), by + ["_c"]).select(*tk, "_x", "_vn")
 
     for level in range(MAX_LEVELS + 1):
-        big = picked.agg(F.max("_cn")).first()[0]
+        big = picked.agg(F.max("_cd")).first()[0]
         if big is None or big <= max_cell_rows:
             break
         if level == MAX_LEVELS:
-            raise RuntimeError(f"a cell still holds {big} rows after {MAX_LEVELS} levels")
+            raise RuntimeError(f"a cell still holds {big} values after {MAX_LEVELS} levels")
         rows = _materialise(rows)
         rng = rows.groupBy(*tk).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        if rng.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] == 0:
-            break                                              # cells hold one value each
         r2 = rows.join(rng, tk).withColumn("_c", _cell(F.col("_x"), F.col("_lo"), F.col("_hi"), cells))
-        hist = r2.groupBy(*tk, "_c").agg(F.count(F.lit(1)).alias("_cn"))
+        hist = r2.groupBy(*tk, "_c").agg(*cell)
         picked = _materialise(_pick_cells(hist, tk, picked.select(*tk, "_h", "_r"), "_r"))
-        rows = r2.join(picked.select(*tk, "_c"), tk + ["_c"]).select(*tk, "_x")
+        rows = r2.join(picked.select(*tk, "_c"), tk + ["_c"]).select(*tk, "_x", "_vn")
 
     # final: rank the distinct values of each (small) wanted cell
-    dv = rows.groupBy(*tk, "_x").agg(F.count(F.lit(1)).alias("_vn"))
     wv = Window.partitionBy(*tk).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    dv = dv.withColumn("_vb", F.coalesce(F.sum("_vn").over(wv), F.lit(0)))
+    dv = rows.withColumn("_vb", F.coalesce(F.sum("_vn").over(wv), F.lit(0)))
     hit = (dv.join(picked.select(*tk, "_h", "_r"), tk)
              .filter((F.col("_r") >= F.col("_vb")) & (F.col("_r") < F.col("_vb") + F.col("_vn"))))
     g = hit.groupBy(*by, "q").agg(
