@@ -62,3 +62,18 @@ def test_best_source_sends_a_store_name_once(spark):
     assert {(r.order_id, r.source, r.store_id) for r in best.collect()} == {
         ("a", "S1", "S1"), ("b", "Depot", "S9"), ("c", None, None), ("d", None, "S3")}
     assert "_same" in _plan(best).split("Exchange", 1)[1]
+
+
+def test_demand_forest_fits_stored_rows_on_all_cores(spark, monkeypatch):
+    seen, fit = [], D.Pipeline.fit
+
+    def recorded(self, df):
+        seen.append((df.rdd.getNumPartitions(), df.storageLevel.useMemory, self.getStages()[-1].getCacheNodeIds()))
+        return fit(self, df)
+
+    monkeypatch.setattr(D.Pipeline, "fit", recorded)
+    rows = spark.range(200, numPartitions=1).select(
+        *[(F.col("id") % (k + 2)).alias(c) for k, c in enumerate(D.FEATURES)], (F.col("id") % 7).alias("quantity"))
+    model = D.train_demand(rows, params=D.ForestParams(num_trees=2, max_depth=3))
+    assert seen == [(spark.sparkContext.defaultParallelism, True, True)]
+    assert model.stages[-1].getNumTrees == 2 and model.transform(rows).count() == 200
