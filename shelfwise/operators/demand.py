@@ -141,22 +141,26 @@ def future_grid(groups: DataFrame, last_date, horizon: int = 30) -> DataFrame:
 def recent_history(series: DataFrame, keys) -> DataFrame:
     """Lag-style features from the last 30 rows of each series.
 
-    ``row_number() <= 30`` lets Spark apply a per-partition group limit before
-    the shuffle.  Means over 7 / 14 rows (and the 7-row std) need that many rows,
-    else 0.
+    Frames from the last row backwards, read where the row number is 1: one sort per
+    task and no hash table of the series.  Rows are not limited before the shuffle: the
+    days of a series lie in different tasks, so a limit sorts all rows and drops few.
+    Means over 7 / 14 rows (and the 7-row std) need that many rows, else 0.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc("date"))
-    r = series.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= HISTORY_ROWS)
     q = F.col("quantity")
-    rn = F.col("_rn")
-    g = r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max(F.when(rn == 1, q)).alias("_last"),
-        F.avg(F.when(rn <= 7, q)).alias("_m7"),
-        F.avg(F.when(rn <= 14, q)).alias("_m14"),
-        F.avg(q).alias("_m30"),
-        F.stddev_samp(F.when(rn <= 7, q)).alias("_s7"),
-        F.avg("price").alias("_price"))
+
+    def last(rows):
+        return w.rowsBetween(0, rows - 1)
+
+    g = series.select(
+        *keys, F.row_number().over(w).alias("_rn"),
+        F.count(F.lit(1)).over(last(HISTORY_ROWS)).alias("_n"),
+        q.alias("_last"),
+        F.avg(q).over(last(7)).alias("_m7"),
+        F.avg(q).over(last(14)).alias("_m14"),
+        F.avg(q).over(last(HISTORY_ROWS)).alias("_m30"),
+        F.stddev_samp(q).over(last(7)).alias("_s7"),
+        F.avg("price").over(last(HISTORY_ROWS)).alias("_price")).filter(F.col("_rn") == 1)
     n = F.col("_n")
     return g.select(
         *keys,

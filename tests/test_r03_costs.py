@@ -77,3 +77,19 @@ def test_demand_forest_fits_stored_rows_on_all_cores(spark, monkeypatch):
     model = D.train_demand(rows, params=D.ForestParams(num_trees=2, max_depth=3))
     assert seen == [(spark.sparkContext.defaultParallelism, True, True)]
     assert model.stages[-1].getNumTrees == 2 and model.transform(rows).count() == 200
+
+
+def test_recent_history_sorts_once_and_keeps_no_table_of_series(spark):
+    days = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=i), i * i % 11, 2.0) for i in range(40)]
+    days += [("b", dt.date(2024, 1, 1) + dt.timedelta(days=3 * i), i, 1.0) for i in range(8)]
+    days += [(None, dt.date(2024, 1, 1), 5, 3.0)]
+    out = D.recent_history(spark.createDataFrame(days, "k string, date date, quantity long, price double"), ["k"])
+    plan = _plan(out)
+    assert "HashAggregate" not in plan and "WindowGroupLimit" not in plan and plan.count("Sort [") == 1
+    got = {r.k: r for r in out.collect()}
+    q = [i * i % 11 for i in range(40)]
+    assert len(got) == 3 and got["a"].lag_1 == q[-1] and got[None].lag_1 == got[None].lag_30 == 5.0
+    for rows, c in ((7, "lag_7"), (14, "lag_14"), (30, "lag_30"), (7, "rolling_mean_7")):
+        assert abs(got["a"][c] - sum(q[-rows:]) / rows) < 1e-12
+    assert abs(got["b"].rolling_std_7 - (28 / 6) ** 0.5) < 1e-12 and got["b"].lag_14 == 0.0
+    assert got[None].rolling_std_7 == got[None].lag_7 == 0.0 and got["a"].group_mean_price == 2.0
