@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import demand as D
 from shelfwise.operators import fulfilment as H
+from shelfwise.operators import recommend as E
 
 
 def _plan(df):
@@ -93,3 +94,33 @@ def test_recent_history_sorts_once_and_keeps_no_table_of_series(spark):
         assert abs(got["a"][c] - sum(q[-rows:]) / rows) < 1e-12
     assert abs(got["b"].rolling_std_7 - (28 / 6) ** 0.5) < 1e-12 and got["b"].lag_14 == 0.0
     assert got[None].rolling_std_7 == got[None].lag_7 == 0.0 and got["a"].group_mean_price == 2.0
+
+
+def _small_shop(spark):
+    products = spark.createDataFrame([(i, "ABC"[i % 3], float(10 + 7 * i % 40)) for i in range(60)],
+                                     "product_id long, category string, price double")
+    bought = spark.createDataFrame([(c, (c * 7 + k * k) % 60, 1) for c in range(12) for k in range(1 + 3 * c)],
+                                   "customer_id long, product_id long, quantity int")
+    return bought, products
+
+
+def test_recommend_content_joins_blocks_and_leaves_purchases_out_in_the_row(spark, monkeypatch):
+    bought, products = _small_shop(spark)
+    out = E.recommend_content(bought, products, 5)
+    assert "LeftAnti" not in _plan(out)
+    rows = {tuple(r) for r in out.collect()}
+    assert len(rows) == 60
+    for own, chunk in ((2, 64), (64, 4)):            # long lists are joined, ranges span blocks: the same rows
+        monkeypatch.setattr(E, "OWN", own)
+        monkeypatch.setattr(E, "CHUNK", chunk)
+        other = E.recommend_content(bought, products, 5)
+        assert ("LeftAnti" in _plan(other)) == (own == 2)
+        assert {tuple(r) for r in other.collect()} == rows
+
+
+def test_near_sends_a_range_once_per_block(spark):
+    items = spark.range(300).select(F.lit("A").alias("category"), F.col("id").alias("pos"),
+                                    (1000 + F.col("id")).alias("product_id"), F.lit(0.5).alias("price_norm"))
+    ranges = spark.createDataFrame([("A", 5, 40), ("A", 60, 70), ("A", 9, 9)], "category string, lo long, hi long")
+    got = sorted(sorted(e.product_id - 1000 for e in r._near) for r in E._near(ranges, items, "pos").collect())
+    assert got == [list(range(5, 40)), list(range(60, 64)), list(range(64, 70))]
