@@ -124,3 +124,21 @@ def test_near_sends_a_range_once_per_block(spark):
     ranges = spark.createDataFrame([("A", 5, 40), ("A", 60, 70), ("A", 9, 9)], "category string, lo long, hi long")
     got = sorted(sorted(e.product_id - 1000 for e in r._near) for r in E._near(ranges, items, "pos").collect())
     assert got == [list(range(5, 40)), list(range(60, 64)), list(range(64, 70))]
+
+
+def test_similar_products_ranks_in_the_row(spark):
+    _, products = _small_shop(spark)
+    out = E.similar_products(products, 4)
+    assert "windowspecdefinition(product_id" not in _plan(out)      # no sort of all candidates
+    rows = out.collect()
+    assert len(rows) == 240 and all(r.product_id != r.similar_product_id for r in rows)
+
+
+def test_similar_products_with_rows_that_come_twice(spark):
+    """Both rows of a product bring the same partners: each comes twice for it and its partners."""
+    one = [(1, "A", 10.0), (2, "A", 20.0), (3, "A", 40.0), (4, "B", 5.0)]
+    pdf = spark.createDataFrame([*one, one[1]], "product_id long, category string, price double")
+    got = {}
+    for r in E.similar_products(pdf, 3).orderBy("product_id", "rank").collect():
+        got.setdefault(r.product_id, []).append(r.similar_product_id)
+    assert got[1] == [2, 2, 3] and got[2] == [1, 1, 3] and got[3][:2] == [2, 2]
