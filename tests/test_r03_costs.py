@@ -141,4 +141,4 @@ def test_similar_products_with_rows_that_come_twice(spark):
     got = {}
     for r in E.similar_products(pdf, 3).orderBy("product_id", "rank").collect():
         got.setdefault(r.product_id, []).append(r.similar_product_id)
-    assert got[1] == [2, 2, 3] and got[2] == [1, 1, 3] and got[3][:2] == [2, 2]
+    assert got[1] == [2, 2, 4] and got[2] == [1, 1, 3] and got[3][:2] == [2, 2]
