@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfwise.functions.exprs import band
 from shelfwise.functions.stats import _materialise
+from shelfwise.operators.trees import BoostedRegressor
 
 # Fixed values of the markdown model:
 DISCOUNT_EDGES = [-0.01, 0.01, 0.15, 0.30, 0.50, 1.0]
@@ -204,7 +204,7 @@ def train_demand_price(frame: DataFrame, params: BoostParams = BoostParams(),
         # alphabetDesc puts the first level last, so dropLast drops it (drop_first)
         OneHotEncoder(inputCols=["_ci", "_mi"], outputCols=["_cv", "_mv"], dropLast=True),
         VectorAssembler(inputCols=["log_price", "discount_pct", "_cv", "_mv"], outputCol="_x"),
-        GBTRegressor(featuresCol="_x", labelCol="quantity", predictionCol="prediction",
+        BoostedRegressor(featuresCol="_x", labelCol="quantity", predictionCol="prediction",
                      maxIter=params.max_iter, maxDepth=params.max_depth,
                      stepSize=params.step_size, seed=params.seed),
     ])
